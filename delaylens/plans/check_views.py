@@ -73,7 +73,7 @@ incidents AS (
     s.line AS subway_line, s.min_delay AS subway_delay,
     count(f._id) AS matched_surface_events,
     coalesce(round(sum(f.min_delay), 6), 0) AS matched_surface_delay,
-    coalesce(date_diff('microsecond', s.timestamp, max(f.timestamp)) / 60e6, 0) AS max_offset_minutes,
+    coalesce(round(date_diff('microsecond', s.timestamp, max(f.timestamp)) / 60.0) / 1e6, 0) AS max_offset_minutes,
     count(f._id) FILTER (WHERE f.mode = 'bus') AS bus_hits,
     count(f._id) FILTER (WHERE f.mode = 'streetcar') AS streetcar_hits
   FROM subway s
@@ -81,7 +81,7 @@ incidents AS (
     AND f.timestamp <= s.timestamp + INTERVAL 60 MINUTE
   WHERE s.station_key IN (SELECT station_key FROM surface)
     AND s.station_key NOT LIKE '%TORONTO TRANSIT%'
-  GROUP BY ALL)"""
+  GROUP BY s._id, s.station_key, s.timestamp, s.code, s.line, s.min_delay)"""
 )
 
 IMPACTS = (

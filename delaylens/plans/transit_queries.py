@@ -111,7 +111,7 @@ SELECT s._id AS subway_id, s.station_key, strftime(s.timestamp, {STAMP}) AS subw
   s.code AS subway_code, s.line AS subway_line, strftime(f.timestamp, {STAMP}) AS surface_timestamp,
   f.mode, f.min_delay AS surface_delay, f.min_gap AS surface_gap, f.line AS surface_line,
   f.station_key AS surface_station_key, f.code AS surface_code,
-  round(date_diff('microsecond', s.timestamp, f.timestamp) / 60e6, 6) AS offset_minutes
+  round(date_diff('microsecond', s.timestamp, f.timestamp) / 60.0) / 1e6 AS offset_minutes
 FROM subway s JOIN surface f ON f.station_key = s.station_key AND f.timestamp >= s.timestamp
   AND f.timestamp <= s.timestamp + INTERVAL 60 MINUTE
 WHERE s.station_key NOT LIKE '%TORONTO TRANSIT%'"""))

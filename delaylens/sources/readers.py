@@ -7,36 +7,34 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from delaylens.functions import scalars as S
 
-FLIGHT_SCHEMA = T.StructType.fromDDL(
-    "year INT, month INT, day_of_month INT, day_of_week INT, fl_date STRING, op_unique_carrier STRING, "
-    "op_carrier_fl_num DOUBLE, origin STRING, origin_city_name STRING, origin_state_nm STRING, "
-    "dest STRING, dest_city_name STRING, dest_state_nm STRING, crs_dep_time INT, dep_time DOUBLE, "
-    "dep_delay DOUBLE, taxi_out DOUBLE, wheels_off DOUBLE, wheels_on DOUBLE, taxi_in DOUBLE, "
-    "crs_arr_time INT, arr_time DOUBLE, arr_delay DOUBLE, cancelled TINYINT, cancellation_code STRING, "
-    "diverted TINYINT, crs_elapsed_time DOUBLE, actual_elapsed_time DOUBLE, air_time DOUBLE, "
-    "distance FLOAT, carrier_delay INT, weather_delay INT, nas_delay INT, security_delay INT, "
-    "late_aircraft_delay INT"
-)
-
-
-def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast the columns the schema names; bad values become null, NaN becomes null."""
-    types = {f.name: f.dataType for f in schema.fields}
+# The flight file's columns in file order, with their types.
+FLIGHT_TYPES = {
+    "year": "int", "month": "int", "day_of_month": "int", "day_of_week": "int", "fl_date": "date",
+    "op_unique_carrier": "string", "op_carrier_fl_num": "double",
+    "origin": "string", "origin_city_name": "string", "origin_state_nm": "string",
+    "dest": "string", "dest_city_name": "string", "dest_state_nm": "string",
+    "crs_dep_time": "int", "dep_time": "double", "dep_delay": "double", "taxi_out": "double",
+    "wheels_off": "double", "wheels_on": "double", "taxi_in": "double", "crs_arr_time": "int",
+    "arr_time": "double", "arr_delay": "double", "cancelled": "tinyint", "cancellation_code": "string",
+    "diverted": "tinyint", "crs_elapsed_time": "double", "actual_elapsed_time": "double",
+    "air_time": "double", "distance": "float", "carrier_delay": "int", "weather_delay": "int",
+    "nas_delay": "int", "security_delay": "int", "late_aircraft_delay": "int",
+}
+
+
+def _conform(df: DataFrame) -> DataFrame:
+    """Give the known columns their types; what does not fit becomes null, and so does NaN."""
     out = []
-    for name in df.columns:
-        col = F.col(name)
-        kind = types.get(name)
-        if kind is not None and not isinstance(kind, T.StringType):
-            if isinstance(kind, (T.ByteType, T.IntegerType)):
-                col = S.to_number(col).try_cast(kind)
-            elif isinstance(kind, (T.FloatType, T.DoubleType)):
-                col = S.to_number(col).cast(kind)
-            else:
-                col = col.try_cast(kind)
+    for name, found in df.dtypes:
+        kind, col = FLIGHT_TYPES.get(name, found), F.col(name)
+        if kind in ("int", "tinyint", "float", "double"):
+            number = S.to_number(col) if found == "string" else S.nan_to_null(col)
+            col = number.try_cast(kind)
+        elif kind != found:
+            col = col.try_cast(kind)
         out.append(col.alias(name))
     return df.select(*out)
 
@@ -51,7 +49,7 @@ def load_flights(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         raw = spark.read.option("header", True).csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    return _conform(raw, FLIGHT_SCHEMA).withColumn("fl_date", F.col("fl_date").try_cast("date"))
+    return _conform(raw)
 
 
 def load_flights_with_month(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
