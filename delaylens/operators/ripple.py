@@ -13,7 +13,8 @@ from delaylens.session import materialize
 # Fixed value: station keys of the operator's own premises hold this text and are skipped.
 OPERATOR_PREMISES = "TORONTO TRANSIT"
 WINDOW_MINUTES = 60
-EXACT = "decimal(18,6)"
+# Sums that are subtracted again are kept in decimal: exact and independent of the order.
+EXACT = "decimal(18,9)"
 
 
 def eligible(subway: DataFrame, surface: DataFrame) -> DataFrame:
@@ -337,19 +338,17 @@ def add_history(df: DataFrame, fallback: dict[str, float], kinds=("station", "co
     out = df
     for kind in kinds:
         key, targets = HISTORY[kind]
-        work = out.withColumns({"_one": F.lit(1).cast("bigint"), **{f"_{t}": F.col(c) for t, c in targets.items()}})
+        work = out.withColumns({"_one": F.lit(1).cast("bigint"), **{f"_{t}": F.col(c).cast(EXACT) for t, c in targets.items()}})
         swept = running(
             work, ["subway_timestamp", "incident_id"], sums=["_one", *[f"_{t}" for t in targets]], keys=[key]
         )
         seen = F.col("_one_run") - 1
         made = {f"{kind}_prev_incidents": seen}
         for t, column in targets.items():
-            before = F.col(f"_{t}_run") - F.col(f"_{t}")
+            before = (F.col(f"_{t}_run") - F.col(f"_{t}")).cast("double")
             made[f"{kind}_prev_{t}_mean"] = F.when(seen > 0, before / seen).otherwise(F.lit(fallback[column]))
         if kind == "station":
-            made["station_prev_delay_total"] = F.when(
-                seen > 0, F.col("_delay_run") - F.col("_delay")
-            ).otherwise(F.lit(0.0))
+            made["station_prev_delay_total"] = (F.col("_delay_run") - F.col("_delay")).cast("double")
         out = swept.withColumns(made).drop(*[c for c in swept.columns if c.startswith("_")])
     return out
 
@@ -375,10 +374,11 @@ def add_recent(df: DataFrame, block: int = 10_000, rows: int = 3) -> DataFrame:
 
 def add_global_history(df: DataFrame) -> DataFrame:
     """Mean delay of all earlier incidents, the first one 0."""
-    work = df.withColumns({"_one": F.lit(1).cast("bigint"), "_delay": F.col("target_surface_delay")})
+    work = df.withColumns({"_one": F.lit(1).cast("bigint"), "_delay": F.col("target_surface_delay").cast(EXACT)})
     swept = running(work, ["subway_timestamp", "incident_id"], sums=["_one", "_delay"])
     seen = F.col("_one_run") - 1
-    mean = F.when(seen > 0, (F.col("_delay_run") - F.col("_delay")) / seen).otherwise(F.lit(0.0))
+    before = (F.col("_delay_run") - F.col("_delay")).cast("double")
+    mean = F.when(seen > 0, before / seen).otherwise(F.lit(0.0))
     return swept.withColumn("global_prev_delay", mean).drop("_one", "_delay", "_one_run", "_delay_run")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from delaylens.operators.ordered import first_k
 
-UNIT = 1 << 20
+UNIT = 1 << 53
 
 
 def row_hash(keys: Sequence[str], seed: int) -> Column:

@@ -73,7 +73,7 @@ incidents AS (
     s.line AS subway_line, s.min_delay AS subway_delay,
     count(f._id) AS matched_surface_events,
     coalesce(round(sum(f.min_delay), 6), 0) AS matched_surface_delay,
-    coalesce(round(date_diff('microsecond', s.timestamp, max(f.timestamp)) / 60.0) / 1e6, 0) AS max_offset_minutes,
+    coalesce(date_diff('microsecond', s.timestamp, max(f.timestamp)) / 60e6, 0) AS max_offset_minutes,
     count(f._id) FILTER (WHERE f.mode = 'bus') AS bus_hits,
     count(f._id) FILTER (WHERE f.mode = 'streetcar') AS streetcar_hits
   FROM subway s
@@ -109,5 +109,10 @@ travel AS (
     strftime(updated_local, '%Y-%m') AS month FROM readings)"""
 
 
+def r6(expr: str) -> str:
+    """Round a double half up in decimal, for figures that often end in an exact half."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(28, 12)), 6) AS DOUBLE)"
+
+
 def with_views(views: str, body: str) -> str:
     return f"WITH {views.strip()}\n{body.strip()}"

@@ -49,5 +49,10 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def half_up(df: DataFrame, *names: str) -> DataFrame:
+    """Round in decimal: for means of short decimals, which often end in an exact half."""
+    return df.withColumns({n: F.round(F.col(n).cast("decimal(28,12)"), 6).cast("double") for n in names})
+
+
 def run(name: str, tables: Tables) -> DataFrame:
     return tidy(REGISTRY[name].plan(tables))

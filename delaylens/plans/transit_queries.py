@@ -10,8 +10,8 @@ from delaylens.operators import evaluate as E
 from delaylens.operators import ripple as R
 from delaylens.operators.ordered import top_k
 from delaylens.operators.sampling import temporal_split
-from delaylens.plans.check_views import CODEBOOK, IMPACTS, INCIDENTS, TRANSIT, with_views
-from delaylens.plans.registry import query
+from delaylens.plans.check_views import CODEBOOK, IMPACTS, INCIDENTS, TRANSIT, r6, with_views
+from delaylens.plans.registry import half_up, query
 from delaylens.session import materialize
 from delaylens.sources.readers import merge_codebook
 from delaylens.sources.tables import Tables, code_files, subway, surface, transit, transit_raw
@@ -111,7 +111,7 @@ SELECT s._id AS subway_id, s.station_key, strftime(s.timestamp, {STAMP}) AS subw
   s.code AS subway_code, s.line AS subway_line, strftime(f.timestamp, {STAMP}) AS surface_timestamp,
   f.mode, f.min_delay AS surface_delay, f.min_gap AS surface_gap, f.line AS surface_line,
   f.station_key AS surface_station_key, f.code AS surface_code,
-  round(date_diff('microsecond', s.timestamp, f.timestamp) / 60.0) / 1e6 AS offset_minutes
+  {r6("date_diff('microsecond', s.timestamp, f.timestamp) / 60e6")} AS offset_minutes
 FROM subway s JOIN surface f ON f.station_key = s.station_key AND f.timestamp >= s.timestamp
   AND f.timestamp <= s.timestamp + INTERVAL 60 MINUTE
 WHERE s.station_key NOT LIKE '%TORONTO TRANSIT%'"""))
@@ -122,7 +122,7 @@ def ripple_matches(t: Tables) -> DataFrame:
 @query(incident_sql(f"""
 SELECT subway_id, station_key, strftime(subway_timestamp, {STAMP}) AS subway_timestamp, subway_code,
   subway_line, subway_delay, matched_surface_events, matched_surface_delay,
-  round(max_offset_minutes, 6) AS max_offset_minutes, bus_hits, streetcar_hits FROM incidents"""))
+  {r6('max_offset_minutes')} AS max_offset_minutes, bus_hits, streetcar_hits FROM incidents"""))
 def ripple_incidents(t: Tables) -> DataFrame:
     return found(t).drop("_raw_delay")
 
@@ -272,8 +272,8 @@ def ripple_peak_slot(t: Tables) -> DataFrame:
     return R.peak_slot(found(t))
 
 
-@query(incident_sql("""
-SELECT station_key, round(avg(max_offset_minutes), 6) AS avg_recovery_minutes FROM incidents
+@query(incident_sql(f"""
+SELECT station_key, {r6('avg(max_offset_minutes)')} AS avg_recovery_minutes FROM incidents
 WHERE matched_surface_events > 0 GROUP BY 1 ORDER BY avg(max_offset_minutes) DESC, 1 LIMIT 10"""))
 def ripple_recovery(t: Tables) -> DataFrame:
     return R.recovery(found(t))
@@ -312,8 +312,15 @@ def _over(key: str, frame: str = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDI
 
 
 def _prev(value: str, key: str) -> str:
-    return f"round(coalesce(avg(d.{value}) {_over('d.' + key)}, g.{value}), 6)"
+    # Sums are decimal on both sides, so that they do not depend on the order of addition.
+    over = _over("d." + key)
+    total = f"CAST(sum(CAST(d.{value} AS DECIMAL(18, 9))) {over} AS DOUBLE)"
+    return r6(f"coalesce({total} / count(*) {over}, g.{value})")
+
 
+GLOBAL_MEAN = r6(
+    f"coalesce(CAST(sum(CAST(d.delay AS DECIMAL(18, 9))) {_over('')} AS DOUBLE) / count(*) {_over('')}, 0)"
+)
 
 MEANS = {
     "station_prev_delay_mean": ("delay", "station_key"), "station_prev_events_mean": ("events", "station_key"),
@@ -332,7 +339,7 @@ def _history(t: Tables, *kinds: str) -> DataFrame:
 @query(incident_sql(HIST + "SELECT incident_id, " + ", ".join(
     f"{_prev(v, k)} AS {n}" for n, (v, k) in MEANS.items()) + " FROM d, g"))
 def prior_means(t: Tables) -> DataFrame:
-    return _history(t).select("incident_id", *MEANS)
+    return half_up(_history(t).select("incident_id", *MEANS), *MEANS)
 
 
 @query(incident_sql(HIST + f"""
@@ -361,9 +368,10 @@ def recent_means(t: Tables) -> DataFrame:
 
 
 @query(incident_sql(HIST + f"""
-SELECT incident_id, round(coalesce(avg(delay) {_over('')}, 0), 6) AS global_prev_delay FROM d"""))
+SELECT incident_id, {GLOBAL_MEAN} AS global_prev_delay FROM d"""))
 def global_prior_mean(t: Tables) -> DataFrame:
-    return R.add_global_history(R.labelled(found(t))).select("incident_id", "global_prev_delay")
+    rows = R.add_global_history(R.labelled(found(t))).select("incident_id", "global_prev_delay")
+    return half_up(rows, "global_prev_delay")
 
 
 @query(incident_sql(HIST + f"""
@@ -379,14 +387,14 @@ SELECT incident_id, station_key, strftime(subway_timestamp, {STAMP}) AS subway_t
   """ + ", ".join(f"row_number() {_over(k, '')} - 1 AS {n}" for n, k in COUNTS.items()) + f""",
   round(coalesce(avg(d.delay) {_over('station_key', LAST3)}, g.delay), 6) AS recent_station_delay_3,
   round(coalesce(avg(d.events) {_over('station_key', LAST3)}, g.events), 6) AS recent_station_events_3,
-  round(coalesce(avg(d.delay) {_over('')}, 0), 6) AS global_prev_delay,
+  {GLOBAL_MEAN} AS global_prev_delay,
   d.delay AS target_surface_delay, CAST(d.events AS DOUBLE) AS target_surface_events,
-  round(d.linger, 6) AS target_linger_minutes,
+  {r6('d.linger')} AS target_linger_minutes,
   CAST(CASE WHEN d.delay > 0 THEN 1 ELSE 0 END AS BIGINT) AS ripple_label,
   CAST(CASE WHEN d.delay >= 60 OR d.events >= 3 OR d.linger >= 30 THEN 1 ELSE 0 END AS BIGINT) AS severe_label
 FROM d, g"""))
 def ripple_dataset(t: Tables) -> DataFrame:
-    return R.incident_dataset(found(t))
+    return half_up(R.incident_dataset(found(t)), *MEANS, "global_prev_delay")
 
 
 # --- splits and baselines -----------------------------------------------------------------------------
