@@ -15,6 +15,7 @@ OPERATOR_PREMISES = "TORONTO TRANSIT"
 WINDOW_MINUTES = 60
 # Sums that are subtracted again are kept in decimal: exact and independent of the order.
 EXACT = "decimal(18,9)"
+EXACT_HISTORY = "decimal(28,18)"
 
 
 def eligible(subway: DataFrame, surface: DataFrame) -> DataFrame:
@@ -338,7 +339,7 @@ def add_history(df: DataFrame, fallback: dict[str, float], kinds=("station", "co
     out = df
     for kind in kinds:
         key, targets = HISTORY[kind]
-        work = out.withColumns({"_one": F.lit(1).cast("bigint"), **{f"_{t}": F.col(c).cast(EXACT) for t, c in targets.items()}})
+        work = out.withColumns({"_one": F.lit(1).cast("bigint"), **{f"_{t}": F.col(c).cast(EXACT_HISTORY) for t, c in targets.items()}})
         swept = running(
             work, ["subway_timestamp", "incident_id"], sums=["_one", *[f"_{t}" for t in targets]], keys=[key]
         )
@@ -374,7 +375,7 @@ def add_recent(df: DataFrame, block: int = 10_000, rows: int = 3) -> DataFrame:
 
 def add_global_history(df: DataFrame) -> DataFrame:
     """Mean delay of all earlier incidents, the first one 0."""
-    work = df.withColumns({"_one": F.lit(1).cast("bigint"), "_delay": F.col("target_surface_delay").cast(EXACT)})
+    work = df.withColumns({"_one": F.lit(1).cast("bigint"), "_delay": F.col("target_surface_delay").cast(EXACT_HISTORY)})
     swept = running(work, ["subway_timestamp", "incident_id"], sums=["_one", "_delay"])
     seen = F.col("_one_run") - 1
     before = (F.col("_delay_run") - F.col("_delay")).cast("double")

@@ -314,12 +314,12 @@ def _over(key: str, frame: str = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDI
 def _prev(value: str, key: str) -> str:
     # Sums are decimal on both sides, so that they do not depend on the order of addition.
     over = _over("d." + key)
-    total = f"CAST(sum(CAST(d.{value} AS DECIMAL(18, 9))) {over} AS DOUBLE)"
+    total = f"CAST(sum(CAST(d.{value} AS DECIMAL(28, 18))) {over} AS DOUBLE)"
     return r6(f"coalesce({total} / count(*) {over}, g.{value})")
 
 
 GLOBAL_MEAN = r6(
-    f"coalesce(CAST(sum(CAST(d.delay AS DECIMAL(18, 9))) {_over('')} AS DOUBLE) / count(*) {_over('')}, 0)"
+    f"coalesce(CAST(sum(CAST(d.delay AS DECIMAL(28, 18))) {_over('')} AS DOUBLE) / count(*) {_over('')}, 0)"
 )
 
 MEANS = {
