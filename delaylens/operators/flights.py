@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from delaylens.functions import features as X
 from delaylens.functions import scalars as S
 from delaylens.operators.joins import keep_top_keys, merge_counts, zero_fill
-from delaylens.operators.ordered import quantiles, top_k
+from delaylens.operators.ordered import histogram, histogram_quantiles, quantiles, top_k
 from delaylens.session import materialize
 
 MONTHS = tuple(range(1, 13))
@@ -284,25 +284,26 @@ def speed_distribution(df: DataFrame) -> DataFrame:
     speed = _known(X.filter_valid(df), CARRIER).select(
         CARRIER, S.speed_mph("distance", "air_time").alias("speed")
     )
-    quart = quantiles(speed, "speed", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys=[CARRIER])
+    hist = histogram(speed, "speed", [CARRIER])
+    quart = histogram_quantiles(hist, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [CARRIER])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col("speed").between(F.col("q1") - reach, F.col("q3") + reach)
+    inside = F.when(F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach), F.col("_v"))
     return (
-        speed.join(quart, CARRIER)
-        .groupBy(CARRIER)
+        hist.join(quart, CARRIER)
+        .groupBy(CARRIER, "q1", "median", "q3")
         .agg(
-            F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-            F.min(F.when(inside, F.col("speed"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("speed"))).alias("whisker_high"),
-            F.count("*").alias("flights"),
+            F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
+            F.sum("_n").alias("flights"),
         )
     )
 
 
 def impute_group_median(df: DataFrame, value: str = "arr_delay") -> DataFrame:
     """Fill a missing delay with the median of carrier and route, else of the carrier."""
-    route = quantiles(df, value, {"_route_median": 0.5}, keys=[CARRIER, "origin", "dest"])
-    carrier = quantiles(df, value, {"_carrier_median": 0.5}, keys=[CARRIER])
+    routes = histogram(df, value, [CARRIER, "origin", "dest"])
+    carriers = materialize(routes.groupBy(CARRIER, "_v").agg(F.sum("_n").alias("_n")))
+    route = histogram_quantiles(routes, {"_route_median": 0.5}, [CARRIER, "origin", "dest"])
+    carrier = histogram_quantiles(carriers, {"_carrier_median": 0.5}, [CARRIER])
     return (
         df.join(route, [CARRIER, "origin", "dest"], "left")
         .join(carrier, CARRIER, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.operators.ordered import running
+from delaylens.session import materialize
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
@@ -77,10 +78,9 @@ def band_pairs(
     column names except ``key``.
     """
     seconds = minutes * 60
-    # A full outer-space epoch is irrelevant here: only equal and next cells are compared.
-    cell = lambda ts: F.floor(
-        F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / seconds
-    )
+    def cell(ts: str) -> Column:
+        return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / seconds)
+
     a = left.withColumn("_cell", F.explode(F.array(cell(left_ts), cell(left_ts) + 1)))
     b = right.withColumn("_cell", cell(right_ts))
     end = F.col(left_ts) + F.make_dt_interval(mins=F.lit(minutes))
@@ -88,6 +88,14 @@ def band_pairs(
     return a.join(b, [key, "_cell"]).filter(in_band).drop("_cell")
 
 
+def instant_totals(df: DataFrame, key: str, ts: str, measures: Mapping[str, Column]) -> DataFrame:
+    """Events summed per key and instant, computed once: the input of ``band_totals``.
+
+    Measures must be integers or decimals, so that differences of running sums are exact.
+    """
+    return materialize(df.groupBy(key, ts).agg(*[F.sum(c).alias(n) for n, c in measures.items()]))
+
+
 def band_totals(
     probes: DataFrame,
     events: DataFrame,
@@ -96,38 +104,33 @@ def band_totals(
     event_ts: str,
     lower: int,
     upper: int,
-    measures: Mapping[str, Column],
 ) -> DataFrame:
-    """Totals of the events in ``[at + lower, at + upper]`` minutes per (key, at).
+    """Totals of ``instant_totals`` events in ``[at + lower, at + upper]`` minutes per (key, at).
 
-    The pairs are never formed. Events are summed per key and instant; every distinct
-    probe adds an opening and a closing mark; running sums per key in time order make a
-    probe's total the difference of its two marks. Cost grows with rows, not with pairs,
-    and a hot key is cut into slices. Measures must be integers or decimals, so that the
-    difference is exact. ``last_ts`` is the latest event in the band.
+    The pairs are never formed. Every distinct probe adds an opening and a closing mark;
+    running sums per key in time order make a probe's total the difference of its two
+    marks. Cost grows with rows, not with pairs, and a hot key is cut into slices. The
+    first measure has to count the events. ``last_ts`` is the latest event in the band.
     """
-    names = list(measures)
-    span = lambda m: F.make_dt_interval(mins=F.lit(m))
+    names = [c for c in events.columns if c not in (key, event_ts)]
+    kinds = dict(events.dtypes)
+    no_time = F.lit(None).cast("timestamp_ntz")
     marks = probes.select(F.col(key).alias("_key"), F.col(at).alias("_at")).distinct()
-    summed = (
-        events.groupBy(F.col(key).alias("_key"), F.col(event_ts).alias("_t"))
-        .agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-        .select("_key", "_t", F.lit(1).alias("_kind"), F.lit(None).cast("timestamp_ntz").alias("_at"),
-                *names, F.col("_t").alias("last_ts"))
+    summed = events.select(
+        F.col(key).alias("_key"), F.col(event_ts).alias("_t"), F.lit(1).alias("_kind"), no_time.alias("_at"),
+        *names, F.col(event_ts).alias("last_ts"),
     )
-    kinds = {f.name: f.dataType for f in summed.schema.fields}
 
     def mark(kind: int, minutes: int) -> DataFrame:
+        moved = F.col("_at") + F.make_dt_interval(mins=F.lit(minutes))
         return marks.select(
-            "_key", (F.col("_at") + span(minutes)).alias("_t"), F.lit(kind).alias("_kind"), "_at",
-            *[F.lit(0).cast(kinds[n]).alias(n) for n in names],
-            F.lit(None).cast("timestamp_ntz").alias("last_ts"),
+            "_key", moved.alias("_t"), F.lit(kind).alias("_kind"), "_at",
+            *[F.lit(0).cast(kinds[n]).alias(n) for n in names], no_time.alias("last_ts"),
         )
 
     points = summed.unionByName(mark(0, lower)).unionByName(mark(2, upper))
     swept = running(points, ["_t", "_kind"], sums=names, maxes=["last_ts"], keys=["_key"])
     sign = F.when(F.col("_kind") == 2, 1).otherwise(-1)
-    first = names[0]
     totals = (
         swept.filter(F.col("_kind") != 1)
         .groupBy("_key", "_at")
@@ -138,5 +141,5 @@ def band_totals(
     )
     return totals.select(
         F.col("_key").alias(key), F.col("_at").alias(at), *names,
-        F.when(F.col(first) > 0, F.col("last_ts")).alias("last_ts"),
+        F.when(F.col(names[0]) > 0, F.col("last_ts")).alias("last_ts"),
     )

@@ -7,16 +7,19 @@ Exact quantiles and exact first-k splits are built on it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delaylens.functions import scalars as S
 from delaylens.session import materialize
 
 # Up to this many distinct (key, value) pairs an exact quantile is one built-in aggregate;
 # above it the histogram is ranked slice by slice.
 HISTOGRAM_LIMIT = 1_000_000
+# Classes a split may keep apart; their sizes and cuts pass through the driver.
+MAX_CLASSES = 1_000
 
 
 def _same(left: Column, right: Column) -> Column:
@@ -79,39 +82,37 @@ def running(
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
-def _label(p: float) -> str:
-    return f"q{p:g}".replace(".", "_")
+def histogram(
+    df: DataFrame, value: str, keys: Sequence[str] = (), extra: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Rows per key and distinct value as (keys, _v, _n), computed once.
 
+    Combines on the map side and spreads a hot key over its values. ``extra`` adds further
+    aggregates to the same pass; whatever can be merged again need not be scanned for.
+    """
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    grouped = df.groupBy(*keys, S.nan_to_null(F.col(value).cast("double")).alias("_v"))
+    return materialize(grouped.agg(F.count("*").alias("_n"), *more))
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Mapping[str, float],
-    keys: Sequence[str] = (),
-    approx: bool = False,
-    limit: int | None = None,
+
+def histogram_quantiles(
+    hist: DataFrame, probs: Mapping[str, float], keys: Sequence[str] = (), limit: int | None = None
 ) -> DataFrame:
-    """Quantiles with linear interpolation per key; ``probs`` maps output names to ranks.
+    """Quantiles with linear interpolation per key from a ``histogram``.
 
-    Values are first counted per distinct value, which combines on the map side and
-    spreads a hot key over its values. If that histogram is small, one built-in aggregate
-    finishes; otherwise it is ranked with ``running``. Both give the same numbers.
+    A small histogram is finished by one built-in aggregate; a larger one is ranked with
+    ``running``, where no task holds a key. Both give the same numbers.
     """
     keys = list(keys)
     names, ranks = list(probs), [float(p) for p in probs.values()]
-    kept = df.filter(F.col(value).isNotNull())
-    if approx:
-        got = kept.groupBy(*keys).agg(F.percentile_approx(value, ranks, 10_000).alias("_q"))
-        return got.select(*keys, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-
-    hist = materialize(
-        kept.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    )
+    hist = hist.filter(F.col("_v").isNotNull())
     if hist.count() <= (HISTOGRAM_LIMIT if limit is None else limit):
-        got = hist.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, ranks)), F.col("_n")).alias("_q"))
+        got = hist.groupBy(*keys).agg(
+            F.percentile("_v", F.array(*map(F.lit, ranks)), F.col("_n")).alias("_q")
+        )
         return got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-    ranked = running(hist, ["_v"], sums=["_n"], keys=keys)
+    ranked = running(hist.select(*keys, "_v", "_n"), ["_v"], sums=["_n"], keys=keys)
     sizes = hist.groupBy(*[F.col(k).alias(f"_s_{k}") for k in keys]).agg(F.sum("_n").alias("_size"))
     if keys:
         match = F.lit(True)
@@ -135,37 +136,79 @@ def quantiles(
     return got.select(*keys, *out)
 
 
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Mapping[str, float],
+    keys: Sequence[str] = (),
+    approx: bool = False,
+    limit: int | None = None,
+) -> DataFrame:
+    """Quantiles per key; ``probs`` maps output names to ranks.
+
+    ``approx`` trades exactness for a bounded sketch per key.
+    """
+    if approx:
+        names, ranks = list(probs), [float(p) for p in probs.values()]
+        kept = df.filter(F.col(value).isNotNull())
+        got = kept.groupBy(*keys).agg(F.percentile_approx(value, ranks, 10_000).alias("_q"))
+        return got.select(*keys, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return histogram_quantiles(histogram(df, value, keys), probs, keys, limit)
+
+
 def first_k(
     df: DataFrame,
-    k: int,
+    take: Callable[[int], int],
     coarse: str,
     fine: Sequence[str | Column],
     flag: str = "_first",
+    key: str | None = None,
 ) -> DataFrame:
-    """Mark exactly the first ``k`` rows in the order (coarse, fine) with ``flag`` = 1.
+    """Mark exactly the first ``take(rows)`` rows in the order (coarse, fine) with 1.
 
-    Only the counts per coarse value are ranked; the rows at the one value the cut falls
-    on are ranked among themselves. All other rows are decided by a comparison.
+    With ``key`` (a label of a few classes) every class is cut by itself. Only the counts
+    per coarse value are ranked; rows at the one value where a cut falls are ranked among
+    themselves, all others are decided by a comparison.
     """
-    total = df.count()
-    if k <= 0 or k >= total:
-        return df.withColumn(flag, F.lit(int(k > 0)))
-    counts = df.groupBy(coarse).agg(F.count("*").alias("_n"))
-    cut = (
-        running(counts, [coarse], sums=["_n"])
+    keys = [key] if key else []
+    counts = materialize(df.groupBy(*keys, coarse).agg(F.count("*").alias("_n")))
+    classes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size")).limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"{key} has more than {MAX_CLASSES} classes")
+    wanted = {(r[key] if key else None): max(take(r["_size"] or 0), 0) for r in classes}
+
+    def of(value) -> Column:
+        return F.col(key).eqNullSafe(F.lit(value)) if key else F.lit(True)
+
+    def per_class(values: Mapping, default) -> Column:
+        out = F.lit(default)
+        for value, result in values.items():
+            out = F.when(of(value), F.lit(result)).otherwise(out)
+        return out
+
+    k = per_class(wanted, 0)
+    cuts = (
+        running(counts, [coarse], sums=["_n"], keys=keys)
         .filter((F.col("_n_run") >= k) & (F.col("_n_run") - F.col("_n") < k))
-        .select(coarse, (F.lit(k) - F.col("_n_run") + F.col("_n")).alias("_rest"), "_n")
-        .first()
+        .withColumn("_rest", k - F.col("_n_run") + F.col("_n"))
+        .collect()  # one row per class
     )
-    edge = F.lit(cut[coarse])
-    on_edge = F.col(coarse).eqNullSafe(edge)
-    before = F.col(coarse).isNull() | (F.col(coarse) < edge)
-    known = df.filter(~on_edge).withColumn(flag, F.coalesce(before, F.lit(False)).cast("int"))
-    at_edge = df.filter(on_edge)
-    if cut["_rest"] == cut["_n"]:
-        return known.unionByName(at_edge.withColumn(flag, F.lit(1)))
-    ranked = running(at_edge.withColumn("_one", F.lit(1)), fine, sums=["_one"])
-    marked = ranked.withColumn(flag, (F.col("_one_run") <= cut["_rest"]).cast("int"))
+    before, on_edge, rest = F.lit(False), F.lit(False), {}
+    for row in cuts:
+        value, edge = (row[key] if key else None), F.lit(row[coarse])
+        lower = F.col(coarse).isNull() | (F.col(coarse) < edge)
+        if row["_rest"] == row["_n"]:
+            before = before | (of(value) & (lower | F.col(coarse).eqNullSafe(edge)))
+        else:
+            before = before | (of(value) & lower & ~F.col(coarse).eqNullSafe(edge))
+            on_edge = on_edge | (of(value) & F.col(coarse).eqNullSafe(edge))
+            rest[value] = row["_rest"]
+    before, on_edge = F.coalesce(before, F.lit(False)), F.coalesce(on_edge, F.lit(False))
+    if not rest:
+        return df.withColumn(flag, before.cast("int"))
+    known = df.filter(~on_edge).withColumn(flag, before.cast("int"))
+    ranked = running(df.filter(on_edge).withColumn("_one", F.lit(1)), fine, sums=["_one"], keys=keys)
+    marked = ranked.withColumn(flag, (F.col("_one_run") <= per_class(rest, 0)).cast("int"))
     return known.unionByName(marked.drop("_one", "_one_run"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
-from delaylens.operators.joins import band_pairs, band_totals, lookup
+from delaylens.operators.joins import band_pairs, band_totals, instant_totals, lookup
 from delaylens.operators.ordered import quantiles, running, top_k
 from delaylens.session import materialize
 
@@ -21,9 +21,11 @@ EXACT_HISTORY = "decimal(28,18)"
 def eligible(subway: DataFrame, surface: DataFrame) -> DataFrame:
     """Incidents at stations that have any surface event at all."""
     stations = surface.select("station_key").distinct()
-    return subway.filter(~F.col("station_key").contains(OPERATOR_PREMISES)).join(
-        stations, "station_key", "left_semi"
-    )
+    return _outside(subway).join(stations, "station_key", "left_semi")
+
+
+def _outside(subway: DataFrame) -> DataFrame:
+    return subway.filter(~F.col("station_key").contains(OPERATOR_PREMISES))
 
 
 def _minutes(col: str) -> Column:
@@ -32,7 +34,7 @@ def _minutes(col: str) -> Column:
 
 def matched_pairs(subway: DataFrame, surface: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
     """One row per incident and surface event in its window."""
-    left = subway.filter(~F.col("station_key").contains(OPERATOR_PREMISES)).select(
+    left = _outside(subway).select(
         F.col("_id").alias("subway_id"),
         "station_key",
         F.col("timestamp").alias("subway_timestamp"),
@@ -64,33 +66,31 @@ def incidents(subway: DataFrame, surface: DataFrame, minutes: int = WINDOW_MINUT
     Totals depend on station and time alone, so they are computed once per distinct pair
     and joined back; two incidents with the same id stay two rows.
     """
-    own = eligible(subway, surface)
-    one = F.lit(1).cast("bigint")
-    totals = band_totals(
-        own.select("station_key", F.col("timestamp").alias("subway_timestamp")),
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    events = instant_totals(
         surface,
         "station_key",
-        "subway_timestamp",
         "timestamp",
-        0,
-        minutes,
         {
             "matched_surface_events": one,
             "_delay": _minutes("min_delay").cast(EXACT),
-            "bus_hits": F.when(F.col("mode") == "bus", one).otherwise(F.lit(0).cast("bigint")),
-            "streetcar_hits": F.when(F.col("mode") == "streetcar", one).otherwise(F.lit(0).cast("bigint")),
+            "bus_hits": F.when(F.col("mode") == "bus", one).otherwise(none),
+            "streetcar_hits": F.when(F.col("mode") == "streetcar", one).otherwise(none),
         },
     )
-    offset = S.minutes_between("last_ts", "subway_timestamp")
-    rows = own.select(
-        F.col("_id").alias("subway_id"),
-        "station_key",
-        F.col("timestamp").alias("subway_timestamp"),
-        S.upper_code("code").alias("subway_code"),
-        F.col("line").alias("subway_line"),
-        _minutes("min_delay").alias("subway_delay"),
-        S.nan_to_null("min_delay").alias("_raw_delay"),
+    rows = materialize(
+        eligible(subway, events).select(
+            F.col("_id").alias("subway_id"),
+            "station_key",
+            F.col("timestamp").alias("subway_timestamp"),
+            S.upper_code("code").alias("subway_code"),
+            F.col("line").alias("subway_line"),
+            _minutes("min_delay").alias("subway_delay"),
+            S.nan_to_null("min_delay").alias("_raw_delay"),
+        )
     )
+    totals = band_totals(rows, events, "station_key", "subway_timestamp", "timestamp", 0, minutes)
+    offset = S.minutes_between("last_ts", "subway_timestamp")
     return rows.join(totals, ["station_key", "subway_timestamp"], "left").select(
         *rows.columns,
         F.coalesce("matched_surface_events", F.lit(0)).alias("matched_surface_events"),
@@ -199,9 +199,11 @@ def timeline(found: DataFrame, surface: DataFrame, day: DataFrame, minutes: int
         chosen, ["station_key", "day"], "left_semi"
     )
     at_station = surface.join(F.broadcast(day.select("station_key")), "station_key", "left_semi")
+    starts_at = instant_totals(
+        subway_day, "station_key", "subway_timestamp", {"times": F.lit(1).cast("bigint")}
+    )
     reach = band_totals(
-        at_station, subway_day, "station_key", "timestamp", "subway_timestamp", -minutes, 0,
-        {"times": F.lit(1).cast("bigint")},
+        at_station, starts_at, "station_key", "timestamp", "subway_timestamp", -minutes, 0
     ).filter(F.col("times") > 0)
     linked = at_station.join(reach.select("station_key", "timestamp", "times"), ["station_key", "timestamp"])
 

@@ -4,7 +4,6 @@ executor picks the same rows; exact sizes come from ``first_k``, never from one
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +22,15 @@ def uniform(keys: Sequence[str], seed: int) -> Column:
     return F.pmod(row_hash(keys, seed), F.lit(UNIT)) / F.lit(float(UNIT))
 
 
+def _by_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """Rows with their hash and its leading bits, which serve as the coarse order."""
+    hashed = df.withColumn("_hash", row_hash(keys, seed))
+    return hashed.withColumn("_cell", F.shiftright(F.col("_hash"), 44))
+
+
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement."""
-    hashed = df.withColumn("_hash", row_hash(keys, seed)).withColumn(
-        "_cell", F.shiftright(F.col("_hash"), 44)
-    )
-    picked = first_k(hashed, n, "_cell", ["_hash", *keys])
+    picked = first_k(_by_hash(df, keys, seed), lambda rows: min(n, rows), "_cell", ["_hash", *keys])
     return picked.filter(F.col("_first") == 1).drop("_hash", "_cell", "_first")
 
 
@@ -53,21 +55,13 @@ def stratified_split(
     """
     if not exact:
         return df.withColumn("is_test", (uniform(keys, seed) < test_share).cast("int"))
-    hashed = df.withColumn("_hash", row_hash(keys, seed)).withColumn(
-        "_cell", F.shiftright(F.col("_hash"), 44)
+    cut = first_k(
+        _by_hash(df, keys, seed), lambda rows: round(rows * test_share), "_cell", ["_hash", *keys],
+        flag="is_test", key=label,
     )
-    # One pass per class; a label has a handful of classes.
-    sizes = {r[label]: r["count"] for r in hashed.groupBy(label).count().collect()}
-    parts = [
-        first_k(
-            hashed.filter(F.col(label).eqNullSafe(F.lit(value))),
-            round(size * test_share), "_cell", ["_hash", *keys], flag="is_test",
-        )
-        for value, size in sorted(sizes.items(), key=lambda kv: str(kv[0]))
-    ]
-    return reduce(DataFrame.unionByName, parts).drop("_hash", "_cell")
+    return cut.drop("_hash", "_cell")
 
 
 def temporal_split(df: DataFrame, share: float, ts: str, tie_break: Sequence[str]) -> DataFrame:
     """Add ``is_train`` = 1 for the first ``int(rows * share)`` rows in time order."""
-    return first_k(df, int(df.count() * share), ts, [ts, *tie_break], flag="is_train")
+    return first_k(df, lambda rows: int(rows * share), ts, [ts, *tie_break], flag="is_train")

@@ -4,37 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
-from delaylens.operators.ordered import quantiles, top_k
+from delaylens.operators.ordered import histogram, histogram_quantiles, quantiles, top_k
 
 VALUE = "timeInSeconds"
 
 
-def _profile(df: DataFrame, key: str, aggs: Mapping[str, Column], probs: Mapping[str, float]) -> DataFrame:
-    """Plain aggregates and exact quantiles per key. Both sides are one row per key."""
-    known = df.filter(F.col(key).isNotNull())
-    plain = known.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()])
-    return plain.join(quantiles(known, VALUE, probs, keys=[key]), key, "left")
+# Aggregates that merge from the histogram, so one scan serves them and the quantiles.
+MERGED = {
+    "records": lambda: F.sum("_n"),
+    "mean_time": lambda: F.try_divide(
+        F.sum(F.col("_v") * F.col("_n")), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
+    ),
+    "mean_sample_size": lambda: F.try_divide(F.sum("_samples"), F.sum("_sampled")),
+    "start": lambda: F.min("_start"),
+    "end": lambda: F.max("_end"),
+}
 
 
-def yearly(df: DataFrame) -> DataFrame:
-    aggs = {
-        "records": F.count("*"),
-        "segments": F.countDistinct("resultId"),
-        "start": F.min("updated_local"),
-        "end": F.max("updated_local"),
-        "mean_time": F.avg(VALUE),
-        "mean_sample_size": F.avg("count"),
+def _profile(df: DataFrame, key: str, probs: Mapping[str, float], **figures: str) -> DataFrame:
+    """``figures`` (output name = entry of ``MERGED``) and exact quantiles per key."""
+    extra = {
+        "_samples": F.sum("count"), "_sampled": F.count("count"),
+        "_start": F.min("updated_local"), "_end": F.max("updated_local"),
     }
-    return _profile(df, "year", aggs, {"median_time": 0.5, "p80_time": 0.8, "p90_time": 0.9})
+    hist = histogram(df.filter(F.col(key).isNotNull()), VALUE, [key], extra)
+    plain = hist.groupBy(key).agg(*[MERGED[source]().alias(name) for name, source in figures.items()])
+    return plain.join(histogram_quantiles(hist, probs, [key]), key, "left")
+
+
+def yearly(df: DataFrame) -> DataFrame:
+    stats = _profile(
+        df, "year", {"median_time": 0.5, "p80_time": 0.8, "p90_time": 0.9},
+        records="records", start="start", end="end", mean_time="mean_time", mean_sample_size="mean_sample_size",
+    )
+    distinct = df.filter(F.col("year").isNotNull()).groupBy("year").agg(F.countDistinct("resultId").alias("segments"))
+    return stats.join(distinct, "year")
 
 
 def _by(df: DataFrame, key: str) -> DataFrame:
-    aggs = {"mean_time": F.avg(VALUE), "sample_records": F.count("*")}
-    return _profile(df, key, aggs, {"median_time": 0.5})
+    return _profile(df, key, {"median_time": 0.5}, mean_time="mean_time", sample_records="records")
 
 
 def hourly(df: DataFrame) -> DataFrame:
@@ -56,8 +68,10 @@ def monthly(df: DataFrame, k: int = 24) -> DataFrame:
 
 
 def segments(df: DataFrame, min_records: int = 500) -> DataFrame:
-    aggs = {"records": F.count("*"), "mean_time": F.avg(VALUE), "mean_sample_size": F.avg("count")}
-    stats = _profile(df, "resultId", aggs, {"median_time": 0.5, "p90_time": 0.9})
+    stats = _profile(
+        df, "resultId", {"median_time": 0.5, "p90_time": 0.9},
+        records="records", mean_time="mean_time", mean_sample_size="mean_sample_size",
+    )
     return stats.filter(F.col("records") >= min_records)
 
 
@@ -112,8 +126,9 @@ def split_by_date(df: DataFrame, cutoff: str, ts: str = "updated_local") -> tupl
 
 def priors(train: DataFrame) -> DataFrame:
     """Mean, p90 and size per segment, from training rows only."""
-    aggs = {"segment_mean": F.avg(VALUE), "segment_records": F.count("*")}
-    return _profile(train, "resultId", aggs, {"segment_p90": 0.9})
+    return _profile(
+        train, "resultId", {"segment_p90": 0.9}, segment_mean="mean_time", segment_records="records"
+    )
 
 
 def attach_priors(df: DataFrame, stats: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from delaylens.functions import features as X
 from delaylens.operators import evaluate as E
-from delaylens.operators.sampling import sample_n, stratified_split
+from delaylens.operators import sampling as H
 from delaylens.plans.check_views import FLIGHTS, with_views
 from delaylens.plans.registry import query
 from delaylens.sources.tables import Tables, flights
@@ -155,16 +155,16 @@ SPLIT_KEYS = ("y", "label", "score", "yhat")
 
 
 @query()
-def sample_exact(t: Tables) -> DataFrame:
-    return sample_n(scored(t), 5_000, list(SPLIT_KEYS)).select("label", "score", "y")
+def sample_n(t: Tables) -> DataFrame:
+    return H.sample_n(scored(t), 5_000, list(SPLIT_KEYS)).select("label", "score", "y")
 
 
 @query(sql("""
 SELECT CAST(label AS BIGINT) AS label, count(*) AS flights,
   count(*) - CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS train_rows,
   CAST(round_even(count(*) * 0.2, 0) AS BIGINT) AS test_rows FROM scored GROUP BY label"""))
-def stratified_split_sizes(t: Tables) -> DataFrame:
-    cut = stratified_split(scored(t), "label", 0.2, list(SPLIT_KEYS))
+def stratified_split(t: Tables) -> DataFrame:
+    cut = H.stratified_split(scored(t), "label", 0.2, list(SPLIT_KEYS))
     return cut.groupBy("label").agg(
         F.count("*").alias("flights"), F.sum(1 - F.col("is_test")).alias("train_rows"),
         F.sum("is_test").alias("test_rows"),

@@ -113,8 +113,7 @@ def load_mode_files(t: Tables) -> DataFrame:
     modes = [
         readers.load_mode_file(t.spark, _mode_csv(t, mode), mode) for mode in ("subway", "bus", "streetcar")
     ]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), modes)
-    return rows.select("_id", "mode", "station_key", "code", "line", "min_delay", "min_gap", "timestamp")
+    return readers.union_feeds(*modes).select("_id", "mode", "station_key", "code", "line", "min_delay", "min_gap", "timestamp")
 
 
 @query(with_views(CODEBOOK, "SELECT code, description FROM codebook"))

@@ -9,11 +9,11 @@ from delaylens.functions import scalars as S
 from delaylens.operators import evaluate as E
 from delaylens.operators import ripple as R
 from delaylens.operators.ordered import top_k
-from delaylens.operators.sampling import temporal_split
+from delaylens.operators import sampling as H
 from delaylens.plans.check_views import CODEBOOK, IMPACTS, INCIDENTS, TRANSIT, r6, with_views
 from delaylens.plans.registry import half_up, query
 from delaylens.session import materialize
-from delaylens.sources.readers import merge_codebook
+from delaylens.sources.readers import merge_codebook, union_feeds
 from delaylens.sources.tables import Tables, code_files, subway, surface, transit, transit_raw
 
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -53,7 +53,9 @@ def transit_clean(t: Tables) -> DataFrame:
 
 @query(feed_sql("SELECT mode, station_key, count(*) AS events FROM surface GROUP BY ALL"))
 def surface_union(t: Tables) -> DataFrame:
-    return surface(t).groupBy("mode", "station_key").agg(F.count("*").alias("events"))
+    feed = transit(t)
+    both = union_feeds(feed.filter(F.col("mode") == "bus"), feed.filter(F.col("mode") == "streetcar").drop("min_gap"))
+    return both.groupBy("mode", "station_key").agg(F.count("*").alias("events"))
 
 
 @query(with_views(CODEBOOK, "SELECT code, description FROM codebook"))
@@ -406,9 +408,9 @@ s AS (SELECT d.*, CASE WHEN row_number() OVER (ORDER BY subway_timestamp, incide
 
 
 @query(incident_sql(SPLIT + "SELECT incident_id, CAST(is_train AS BIGINT) AS is_train FROM s"))
-def temporal_split_by_share(t: Tables) -> DataFrame:
+def temporal_split(t: Tables) -> DataFrame:
     rows = materialize(R.labelled(found(t)))
-    return temporal_split(rows, 0.8, "subway_timestamp", ["incident_id"]).select("incident_id", "is_train")
+    return H.temporal_split(rows, 0.8, "subway_timestamp", ["incident_id"]).select("incident_id", "is_train")
 
 
 @query(incident_sql(SPLIT + """
@@ -419,6 +421,6 @@ SELECT CASE WHEN is_train = 1 THEN 'train' ELSE 'test' END AS split, count(*) AS
 FROM s GROUP BY 1"""))
 def zero_baseline(t: Tables) -> DataFrame:
     rows = materialize(R.labelled(found(t)))
-    cut = temporal_split(rows, 0.8, "subway_timestamp", ["incident_id"])
+    cut = H.temporal_split(rows, 0.8, "subway_timestamp", ["incident_id"])
     named = cut.withColumn("split", F.when(F.col("is_train") == 1, "train").otherwise("test"))
     return E.zero_baseline(named, "target_surface_delay", "split", ["ripple_label", "severe_label"])

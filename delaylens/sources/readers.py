@@ -116,6 +116,14 @@ def load_mode_file(spark: SparkSession, path: str, mode: str, zone: str = S.LOCA
     return clean_mode(spark.read.option("header", True).csv(path), mode, zone)
 
 
+def union_feeds(*feeds: DataFrame) -> DataFrame:
+    """Feeds of several modes as one; a column that one of them lacks is null there."""
+    out = feeds[0]
+    for feed in feeds[1:]:
+        out = out.unionByName(feed, allowMissingColumns=True)
+    return out
+
+
 def merge_codebook(files: Sequence[DataFrame]) -> DataFrame:
     """One description per upper-case code; a later file, then a later row, wins.
 
