@@ -175,7 +175,8 @@ def first_k(
     classes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size")).limit(MAX_CLASSES + 1).collect()
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{key} has more than {MAX_CLASSES} classes")
-    wanted = {(r[key] if key else None): max(take(r["_size"] or 0), 0) for r in classes}
+    sizes = {(r[key] if key else None): r["_size"] or 0 for r in classes}
+    wanted = {value: min(max(take(size), 0), size) for value, size in sizes.items()}
 
     def of(value) -> Column:
         return F.col(key).eqNullSafe(F.lit(value)) if key else F.lit(True)
