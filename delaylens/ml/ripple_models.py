@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,14 +54,18 @@ def split(dataset: DataFrame, share: float = 0.8, validation: float = 0.15) -> D
 
 def _stages(label: str, kind: str) -> list:
     """Categories as smoothed target means, so a new station or code needs no own bin."""
-    indexed, encoded = [f"{c}_index" for c in CATEGORIES], [f"{c}_mean" for c in CATEGORIES]
+    indexed, encoded = [f"{c}_index" for c in CATEGORIES], [f"{c}_target" for c in CATEGORIES]
+    # The encoder's columns still carry the index's nominal metadata, which would make the
+    # trees read a mean as a category; arithmetic drops it.
+    plain = ", ".join(f"{c}_target + 0.0D AS {c}_mean" for c in CATEGORIES)
     return [
         StringIndexer(inputCols=list(CATEGORIES), outputCols=indexed, handleInvalid="keep"),
         TargetEncoder(
             inputCols=indexed, outputCols=encoded, labelCol=label, targetType=kind, smoothing=10.0,
             handleInvalid="keep",
         ),
-        VectorAssembler(inputCols=[*encoded, *NUMBERS], outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"),
+        VectorAssembler(inputCols=[*[f"{c}_mean" for c in CATEGORIES], *NUMBERS], outputCol="features"),
     ]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.operators.ordered import first_k
+from delaylens.session import materialize
 
 UNIT = 1 << 53
 
@@ -23,9 +24,12 @@ def uniform(keys: Sequence[str], seed: int) -> Column:
 
 
 def _by_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Rows with their hash and its leading bits, which serve as the coarse order."""
+    """Rows with their hash and its leading bits, which serve as the coarse order.
+
+    Computed once: an exact cut reads the rows three times and must see the same ones.
+    """
     hashed = df.withColumn("_hash", row_hash(keys, seed))
-    return hashed.withColumn("_cell", F.shiftright(F.col("_hash"), 44))
+    return materialize(hashed.withColumn("_cell", F.shiftright(F.col("_hash"), 44)))
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
-from delaylens.operators.ordered import histogram, histogram_quantiles, quantiles, top_k
+from delaylens.operators.ordered import histogram, histogram_quantiles, quantiles, running, top_k
 
 VALUE = "timeInSeconds"
 
@@ -146,9 +146,9 @@ def attach_priors(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def codes(values: DataFrame, column: str, name: str) -> DataFrame:
     """Dense codes 0.. in sorted order for the distinct values of a column."""
-    # Distinct categories only: a few segments or months, not fact rows.
     distinct = values.select(column).filter(F.col(column).isNotNull()).distinct()
-    return distinct.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1)
+    numbered = running(distinct.withColumn("_one", F.lit(1)), [column], sums=["_one"])
+    return numbered.select(column, (F.col("_one_run") - 1).alias(name))
 
 
 def attach_code(df: DataFrame, dim: DataFrame, column: str, name: str) -> DataFrame:

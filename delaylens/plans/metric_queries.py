@@ -169,3 +169,11 @@ def stratified_split(t: Tables) -> DataFrame:
         F.count("*").alias("flights"), F.sum(1 - F.col("is_test")).alias("train_rows"),
         F.sum("is_test").alias("test_rows"),
     )
+
+
+@query()
+def random_split(t: Tables) -> DataFrame:
+    """Sizes of the two parts of an unstratified 80/20 split."""
+    parts = zip(("train", "test"), H.random_split(scored(t), 0.2, list(SPLIT_KEYS)))
+    sizes = [df.groupBy(F.lit(name).alias("part"), "label").agg(F.count("*").alias("flights")) for name, df in parts]
+    return sizes[0].unionByName(sizes[1])

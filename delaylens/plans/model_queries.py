@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from delaylens.operators import evaluate as E
 from delaylens.operators import flights as A
 from delaylens.operators import ripple as R
 from delaylens.operators import travel_time as V
+from delaylens.plans.check_views import FLIGHTS, with_views
 from delaylens.plans.registry import query
 from delaylens.plans.transit_queries import found
 from delaylens.plans.travel_queries import CUTOFF, readings
@@ -40,16 +42,14 @@ def _model_flights(t: Tables) -> DataFrame:
 # --- classifiers --------------------------------------------------------------------------------
 
 
-@query()
+@query(with_views(FLIGHTS, """
+SELECT origin, CASE WHEN origin = 'NATION_3' THEN 2.0::DOUBLE ELSE 3.0 END AS fewest,
+  CASE WHEN origin = 'NATION_3' THEN 2.0::DOUBLE ELSE 3.0 END AS most FROM flights GROUP BY origin"""))
 def one_hot_features(t: Tables) -> DataFrame:
-    """Active slots per row: three categories, none of them lost."""
-    from pyspark.ml import Pipeline
-
+    """Active slots per row: one per category, none for an origin unseen in training."""
     rows = C.model_frame(_model_flights(t), "basic", KEYS)
-    train, test = C.split(rows)
-    seen = train.filter(F.col("origin") != "NATION_3")
-    stages = M.one_hot_stages(C.CATEGORIES, [])
-    out = Pipeline(stages=stages).fit(seen).transform(test)
+    seen = rows.filter(F.col("origin") != "NATION_3")
+    out = Pipeline(stages=M.one_hot_stages(C.CATEGORIES, [])).fit(seen).transform(rows)
     active = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
     return out.groupBy("origin").agg(F.min(active).alias("fewest"), F.max(active).alias("most"))
 
@@ -78,14 +78,14 @@ def feature_set_comparison(t: Tables) -> DataFrame:
     return C.compare(_model_flights(t), SMALL, KEYS)
 
 
-@query()
+@query(with_views(FLIGHTS, "SELECT origin, count(*) AS flights, 0::BIGINT AS changed FROM flights GROUP BY origin"))
 def saved_model_scores(t: Tables) -> DataFrame:
     """A model saved and loaded again scores the same; rows with a different score per origin."""
-    train, test = C.split(C.model_frame(_model_flights(t), "basic", KEYS))
-    model = C.fit_logistic(train, "basic", max_iter=10)
+    rows = C.model_frame(_model_flights(t), "basic", KEYS)
+    model = C.fit_logistic(rows, "basic", max_iter=10)
     path = scratch_path(t.spark, "model")
     save_model(model, path)
-    first = M.with_probability(model.transform(test), "before").select(*test.columns, "before")
+    first = M.with_probability(model.transform(rows), "before").select(*rows.columns, "before")
     both = M.with_probability(load_model(path).transform(first), "after")
     return both.groupBy("origin").agg(
         F.count("*").alias("flights"), F.sum((F.col("before") != F.col("after")).cast("int")).alias("changed")

@@ -6,8 +6,6 @@ queries grow with the given tables and have the same SQL as the direct ones.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +70,7 @@ SELECT CAST(2014 + reading_id % 3 AS BIGINT) AS year, resultId, timeInSeconds, "
   strftime(updated, {STAMP}) AS updated, strftime(updated_local, {STAMP}) AS updated_local,
   CAST(hour AS BIGINT) AS hour, dow, month FROM travel"""))
 def load_travel_time_csv(t: Tables) -> DataFrame:
-    # Three yearly files, told apart by name as the feed's files are.
+    # Three yearly folders, told apart by name as the feed's files are.
     folder = scratch_path(t.spark, "travel")
     rows = travel_time(t)
     paths = []
@@ -84,11 +82,7 @@ def load_travel_time_csv(t: Tables) -> DataFrame:
         )
         chosen.write.option("header", True).csv(path)
         paths.append(path)
-    # Spark names part files itself, so the year is taken from the folder here.
-    one_year = [
-        readers.load_travel_time(t.spark, p).withColumn("year", F.lit(2014 + i)) for i, p in enumerate(paths)
-    ]
-    return reduce(DataFrame.unionByName, one_year)
+    return readers.load_travel_time(t.spark, paths)
 
 
 def _mode_csv(t: Tables, mode: str) -> str:

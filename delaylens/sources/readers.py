@@ -72,13 +72,15 @@ def add_local_features(df: DataFrame, zone: str = S.LOCAL_ZONE) -> DataFrame:
 def load_travel_time(
     spark: SparkSession, paths: str | Sequence[str], add_time_features: bool = True
 ) -> DataFrame:
-    """Yearly road CSVs as one table; the year comes from the end of each file name."""
+    """Yearly road CSVs as one table; the year comes from the end of each file's name, or
+    of its folder's name where Spark has named the files itself."""
     raw = (
         spark.read.option("header", True)
         .schema("resultId STRING, timeInSeconds DOUBLE, count BIGINT, updated STRING")
         .csv(paths if isinstance(paths, str) else list(paths))
     )
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"-(\d+)\.[^.]*$", 1)
+    by_file = F.regexp_extract(F.col("_metadata.file_name"), r"-(\d+)\.[^.]*$", 1).try_cast("int")
+    by_folder = F.regexp_extract(F.col("_metadata.file_path"), r"-(\d+)/[^/]*$", 1).try_cast("int")
     # The session zone never enters: text with an offset is shifted by hand, text without
     # one is already UTC.
     offset = F.regexp_extract("updated", r"([+-]\d{2}:?\d{2})$", 1)
@@ -89,7 +91,8 @@ def load_travel_time(
     wall = F.regexp_replace("updated", r"\s*(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
     utc = wall - F.make_dt_interval(mins=F.coalesce(minutes, F.lit(0)))
     out = raw.select(
-        "resultId", "timeInSeconds", "count", utc.alias("updated"), stem.cast("int").alias("year")
+        "resultId", "timeInSeconds", "count", utc.alias("updated"),
+        F.coalesce(by_file, by_folder).alias("year"),
     )
     return add_local_features(out) if add_time_features else out
 
