@@ -106,10 +106,23 @@ def month_label(ts: Column | str) -> Column:
     return F.date_format(_c(ts), "yyyy-MM")
 
 
+def _micros(span: Column) -> Column:
+    """Microseconds of a day-time interval. Timestamps without zone are subtracted as they
+    are, so the session zone and its clock changes never enter."""
+    part = lambda unit: F.extract(F.lit(unit), span)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+
+
 def minutes_between(end: Column | str, start: Column | str) -> Column:
     """Elapsed minutes with microsecond precision, for timestamps without zone."""
-    micros = F.timestamp_diff("MICROSECOND", _c(start), _c(end))
-    return micros / F.lit(60e6)
+    return _micros(_c(end) - _c(start)) / F.lit(60e6)
+
+
+def time_cell(ts: Column | str, minutes: int) -> Column:
+    """Number of the cell of the given length a timestamp without zone falls in."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.floor(_micros(_c(ts) - epoch) / F.lit(minutes * 60_000_000))
 
 
 def incident_calendar(ts: Column | str) -> dict[str, Column]:
@@ -241,8 +254,12 @@ def as_category(col: Column | str) -> Column:
 
 
 def fixed(col: Column | str, digits: int) -> Column:
-    """Text with a fixed number of decimals."""
-    return F.format_string(f"%.{digits}f", _c(col).cast("double"))
+    """Text with a fixed number of decimals; an exact half goes to the even digit."""
+    x = _c(col).cast("double")
+    # Only a multiple of 1 / 2**(digits + 1) can lie exactly half-way.
+    scaled = x * F.lit(float(2 ** (digits + 1)))
+    even = F.bround(x.cast("decimal(28,12)"), digits).cast("double")
+    return F.format_string(f"%.{digits}f", F.when(scaled == F.floor(scaled), even).otherwise(x))
 
 
 def percent(col: Column | str, digits: int = 1) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +19,6 @@ FEATURES = (
     "result_code", "hour", "dow_code", "month_code", "log_count", "year",
     "segment_mean", "segment_p90", "segment_records_log",
 )
-SAMPLE_ROWS = 2_000_000
 
 
 def _assembler() -> VectorAssembler:
@@ -86,6 +83,3 @@ def evaluate(scored: DataFrame, split: str, name: str = "segment") -> DataFrame:
     rows = [long_metrics(p, name, split) for p in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
-
-def feature_columns() -> Sequence[str]:
-    return FEATURES

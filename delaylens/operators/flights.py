@@ -54,10 +54,15 @@ def top_delay_origins(df: DataFrame, k: int = 15) -> DataFrame:
 
 
 def origin_month_matrix(df: DataFrame, k: int = 25) -> DataFrame:
-    """Mean delay by origin and month for the busiest origins."""
-    busiest = top_k(_count(df, "origin"), "flight_count", k, "origin")
-    kept = keep_top_keys(df, busiest, "origin")
-    wide = kept.groupBy("origin").pivot("month", list(MONTHS)).agg(F.avg("arr_delay"))
+    """Mean delay by origin and month for the busiest origins, from one scan."""
+    cells = materialize(
+        _known(df, "origin")
+        .groupBy("origin", "month")
+        .agg(F.count("*").alias("flight_count"), F.avg("arr_delay").alias("mean_delay"))
+    )
+    load = cells.groupBy("origin").agg(F.sum("flight_count").alias("flight_count"))
+    kept = keep_top_keys(cells, top_k(load, "flight_count", k, "origin"), "origin")
+    wide = kept.groupBy("origin").pivot("month", list(MONTHS)).agg(F.first("mean_delay"))
     return wide.select("origin", *[F.col(str(m)).alias(f"m{m:02d}") for m in MONTHS])
 
 
@@ -251,9 +256,13 @@ def route_volume(df: DataFrame, min_flights: int = 100, k: int = 20) -> DataFram
 
 
 def airport_activity(df: DataFrame, k: int = 25) -> DataFrame:
-    out = _count(df, "origin", name="departures").withColumnRenamed("origin", "airport")
-    into = _count(df, "dest", name="arrivals").withColumnRenamed("dest", "airport")
-    both = merge_counts(out, into, "airport", ("departures", "arrivals"))
+    """Departures plus arrivals per airport; both come from one count of the pairs."""
+    pairs = materialize(df.groupBy("origin", "dest").agg(F.count("*").alias("n")))
+
+    def side(column: str, name: str) -> DataFrame:
+        return _known(pairs, column).groupBy(F.col(column).alias("airport")).agg(F.sum("n").alias(name))
+
+    both = merge_counts(side("origin", "departures"), side("dest", "arrivals"), "airport", ("departures", "arrivals"))
     total = F.col("departures") + F.col("arrivals")
     return top_k(both.withColumn("total_activity", total), "total_activity", k, "airport")
 
@@ -267,16 +276,23 @@ def max_daily_carrier_distance(df: DataFrame, k: int = 10) -> DataFrame:
     return out.withColumn("distance_kmiles", F.col("max_daily_carrier_distance") / 1000)
 
 
+def _top_routes(counts: DataFrame, k: int) -> DataFrame:
+    return top_k(counts.withColumn("route", S.route_key("origin", "dest")), "flight_count", k, "route")
+
+
 def top_routes(df: DataFrame, k: int = 20) -> DataFrame:
     """The k most flown routes; pairs are counted before the text key is built."""
-    named = route_counts(df).select(S.route_key("origin", "dest").alias("route"), "flight_count", "origin", "dest")
-    return top_k(named, "flight_count", k, "route")
+    return _top_routes(route_counts(df), k).select("route", "flight_count")
 
 
 def top_routes_by_month(df: DataFrame, k: int = 20) -> DataFrame:
-    kept = keep_top_keys(_known(df, "month"), top_routes(df, k), "origin", "dest")
-    counts = kept.groupBy("month", "origin", "dest").agg(F.count("*").alias("flight_count"))
-    return counts.select("month", S.route_key("origin", "dest").alias("route"), "flight_count")
+    """Monthly flights of the k most flown routes, from one scan."""
+    cells = materialize(
+        _known(df, "origin", "dest").groupBy("origin", "dest", "month").agg(F.count("*").alias("flight_count"))
+    )
+    year = cells.groupBy("origin", "dest").agg(F.sum("flight_count").alias("flight_count"))
+    kept = keep_top_keys(_known(cells, "month"), _top_routes(year, k), "origin", "dest")
+    return kept.select("month", S.route_key("origin", "dest").alias("route"), "flight_count")
 
 
 def speed_distribution(df: DataFrame) -> DataFrame:

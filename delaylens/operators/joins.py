@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from delaylens.functions.scalars import time_cell
 from delaylens.operators.ordered import running
 from delaylens.session import materialize
 
@@ -74,15 +75,13 @@ def band_pairs(
 
     Time is cut into cells as long as the band; a left row visits its own cell and the
     next one. The equi-join on (key, cell) therefore reads a busy key in many pieces and
-    tests about three candidate pairs per two results. The two frames must not share
+    tests about two candidate pairs per result; a cell that is hot by itself is split by
+    the adaptive skew join. The two frames must not share
     column names except ``key``.
     """
-    seconds = minutes * 60
-    def cell(ts: str) -> Column:
-        return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / seconds)
-
-    a = left.withColumn("_cell", F.explode(F.array(cell(left_ts), cell(left_ts) + 1)))
-    b = right.withColumn("_cell", cell(right_ts))
+    own = time_cell(left_ts, minutes)
+    a = left.withColumn("_cell", F.explode(F.array(own, own + 1)))
+    b = right.withColumn("_cell", time_cell(right_ts, minutes))
     end = F.col(left_ts) + F.make_dt_interval(mins=F.lit(minutes))
     in_band = (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= end)
     return a.join(b, [key, "_cell"]).filter(in_band).drop("_cell")

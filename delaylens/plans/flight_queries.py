@@ -432,7 +432,7 @@ def max_daily_carrier_distance(t: Tables) -> DataFrame:
 SELECT concat(origin, '-', dest) AS route, count(*) AS flight_count FROM flights GROUP BY 1
 ORDER BY 2 DESC, 1 LIMIT 20"""))
 def top_routes_year(t: Tables) -> DataFrame:
-    return A.top_routes(flights(t, "origin", "dest")).select("route", "flight_count")
+    return A.top_routes(flights(t, "origin", "dest"))
 
 
 @query(sql("""

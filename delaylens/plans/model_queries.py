@@ -43,8 +43,11 @@ def _model_flights(t: Tables) -> DataFrame:
 
 
 @query(with_views(FLIGHTS, """
-SELECT origin, CASE WHEN origin = 'NATION_3' THEN 2.0::DOUBLE ELSE 3.0 END AS fewest,
-  CASE WHEN origin = 'NATION_3' THEN 2.0::DOUBLE ELSE 3.0 END AS most FROM flights GROUP BY origin"""))
+, seen AS (SELECT * FROM flights WHERE origin <> 'NATION_3'),
+slots AS (SELECT origin, CAST(origin <> 'NATION_3' AS DOUBLE)
+    + CAST(dest IN (SELECT dest FROM seen) AS DOUBLE)
+    + CAST(op_unique_carrier IN (SELECT op_unique_carrier FROM seen) AS DOUBLE) AS active FROM flights)
+SELECT origin, min(active) AS fewest, max(active) AS most FROM slots GROUP BY origin"""))
 def one_hot_features(t: Tables) -> DataFrame:
     """Active slots per row: one per category, none for an origin unseen in training."""
     rows = C.model_frame(_model_flights(t), "basic", KEYS)

@@ -68,6 +68,18 @@ def test_window_ends_are_inclusive(feeds):
     assert [(r.matched_surface_events, r.max_offset_minutes) for r in rows] == [(2, 60.0), (2, 60.0)]
 
 
+def test_session_zone_and_its_clock_change_do_not_matter(spark):
+    change = dt.datetime(2024, 3, 10, 1, 59) - START
+    a = spark.createDataFrame([row(1, "subway", "S", change.total_seconds())], FEED)
+    b = spark.createDataFrame([row(5, "bus", "S", change.total_seconds() + 3540)], FEED)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert R.matched_pairs(a, b).first().offset_minutes == 59.0
+        assert R.incidents(a, b).first().max_offset_minutes == 59.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_no_delay_gives_exactly_zero(spark):
     a = spark.createDataFrame([row(1, "subway", "S", 5000)], FEED)
     b = spark.createDataFrame([row(i, "bus", "S", i, 0.1) for i in range(100)] + [row(999, "bus", "S", 5100, 0.0)], FEED)

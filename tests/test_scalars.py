@@ -123,6 +123,8 @@ def test_text_helpers(spark):
     assert answers(df, S.as_category("v"))[1:] == ["nan", "k1"]
     number = column(spark, "double", [1.005, 2.0, 0.1234])
     assert answers(number, S.fixed("v", 1)) == ["1.0", "2.0", "0.1"]
+    halves = column(spark, "double", [0.125, 0.375, -0.125, 0.126])
+    assert answers(halves, S.fixed("v", 2)) == ["0.12", "0.38", "-0.12", "0.13"]
     assert answers(number, S.percent("v"))[2] == "12.3%"
     assert answers(column(spark, "string", ["nas_delay", "?"]), S.relabel("v", S.CAUSE_LABELS)) == ["Airport / ATC", None]
 
