@@ -121,8 +121,7 @@ def classifier_metrics(scored: DataFrame, label: str, probability: str, name: st
     for part_name in ("train", "test"):
         part = _part(called, part_name)
         figures = [
-            E.roc_auc(part, label, probability),
-            E.average_precision(part, label, probability),
+            E.ranking(part, label, probability),
             E.confusion(part, label, "_pred").withColumn("threshold", F.lit(best)),
         ]
         for f in figures:

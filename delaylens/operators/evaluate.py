@@ -24,42 +24,53 @@ def _count_if(cond: Column) -> Column:
     return F.coalesce(F.sum(F.coalesce(cond, F.lit(False)).cast("bigint")), F.lit(0))
 
 
-def _score_steps(df: DataFrame, label: str, score: str) -> tuple[DataFrame, int, int]:
+def _score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
     """Cumulative positives and negatives by descending score, one row per score."""
     hist = df.groupBy(F.col(score).alias("score")).agg(
         _count_if(F.col(label) == 1).alias("pos"), _count_if(F.col(label) == 0).alias("neg")
     )
-    steps = running(hist, [F.col("score").desc()], sums=["pos", "neg"])
-    size = steps.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n")).first()
-    return steps, size["p"], size["n"]
+    return running(hist, [F.col("score").desc()], sums=["pos", "neg"])
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def _area() -> Column:
     """Share of positive/negative pairs in the right order, ties counting half."""
-    steps, p, n = _score_steps(df, label, score)
     above = F.col("pos_run") - F.col("pos")
     wins = F.sum(F.col("neg") * (above + F.col("pos") / 2))
-    return steps.agg(F.try_divide(wins, F.lit(float(p) * float(n))).alias("roc_auc"))
+    # The last cumulative counts are the totals.
+    return F.try_divide(wins, F.max("pos_run").cast("double") * F.max("neg_run").cast("double")).alias("roc_auc")
+
+
+def _step_precision() -> Column:
+    """Recall gained at each score times the precision there."""
+    precision = F.col("pos_run") / (F.col("pos_run") + F.col("neg_run"))
+    return F.try_divide(F.sum(F.col("pos") * precision), F.max("pos_run")).alias("average_precision")
+
+
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    return _score_steps(df, label, score).agg(_area())
+
+
+def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+    """Step form, not interpolated."""
+    return _score_steps(df, label, score).agg(_step_precision())
+
+
+def ranking(df: DataFrame, label: str, score: str) -> DataFrame:
+    """AUC and average precision from one pass."""
+    return _score_steps(df, label, score).agg(_area(), _step_precision())
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """One point per distinct score; the point (0, 0) is implied."""
-    steps, p, n = _score_steps(df, label, score)
+    steps = _score_steps(df, label, score)
+    size = steps.agg(F.max("pos_run").alias("p"), F.max("neg_run").alias("n")).first()
     return steps.select(
         F.col("score").alias("threshold"),
-        F.try_divide("neg_run", F.lit(n)).alias("fpr"),
-        F.try_divide("pos_run", F.lit(p)).alias("tpr"),
+        F.try_divide("neg_run", F.lit(size["n"]).cast("bigint")).alias("fpr"),
+        F.try_divide("pos_run", F.lit(size["p"]).cast("bigint")).alias("tpr"),
     )
 
 
-def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Step form: recall gained at each score times the precision there."""
-    steps, p, _ = _score_steps(df, label, score)
-    gained = F.try_divide(F.col("pos"), F.lit(p))
-    precision = F.col("pos_run") / (F.col("pos_run") + F.col("neg_run"))
-    return steps.agg(F.sum(gained * precision).alias("average_precision"))
-
-
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
     """tn, fp, fn, tp with precision, recall and F1; an empty denominator gives 0."""
     y, z = F.col(label), F.col(pred)

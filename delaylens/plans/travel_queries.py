@@ -15,7 +15,7 @@ from delaylens.sources.tables import Tables, travel_time
 
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 CUTOFF = "2024-01-25"
-MIN_RECORDS = 330  # the reference's 500 leaves no segment in the small tables
+MIN_RECORDS = 330  # the usual 500 would leave no segment in the small tables
 
 
 def sql(body: str) -> str:
