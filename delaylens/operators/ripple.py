@@ -107,10 +107,12 @@ def station_impacts(found: DataFrame) -> DataFrame:
     totals = found.groupBy("station_key").agg(
         F.count("*").alias("subway_incidents"),
         F.sum("matched_surface_events").alias("surface_events_in_window"),
-        F.sum("matched_surface_delay").alias("surface_delay_minutes"),
+        F.sum(F.col("matched_surface_delay").cast(EXACT)).cast("double").alias("surface_delay_minutes"),
         F.sum("bus_hits").alias("bus_hits"),
         F.sum("streetcar_hits").alias("streetcar_hits"),
-        F.avg("_raw_delay").alias("avg_subway_delay"),
+        F.try_divide(
+            F.sum(F.col("_raw_delay").cast(EXACT)).cast("double"), F.count("_raw_delay")
+        ).alias("avg_subway_delay"),
     )
     return totals.filter(events > 0).withColumns(
         {

@@ -90,11 +90,11 @@ IMPACTS = (
 impacts AS (
   SELECT station_key, count(*) AS subway_incidents,
     CAST(sum(matched_surface_events) AS BIGINT) AS surface_events_in_window,
-    sum(matched_surface_delay) AS surface_delay_minutes,
+    CAST(sum(CAST(matched_surface_delay AS DECIMAL(18, 9))) AS DOUBLE) AS surface_delay_minutes,
     CAST(sum(bus_hits) AS BIGINT) AS bus_hits, CAST(sum(streetcar_hits) AS BIGINT) AS streetcar_hits,
-    avg(subway_delay) AS avg_subway_delay,
+    CAST(sum(CAST(subway_delay AS DECIMAL(18, 9))) AS DOUBLE) / count(subway_delay) AS avg_subway_delay,
     sum(matched_surface_events) / count(*) AS surface_events_per_subway,
-    sum(matched_surface_delay) / count(*) AS avg_surface_delay_per_subway
+    CAST(sum(CAST(matched_surface_delay AS DECIMAL(18, 9))) AS DOUBLE) / count(*) AS avg_surface_delay_per_subway
   FROM incidents GROUP BY station_key HAVING sum(matched_surface_events) > 0)"""
 )
 
