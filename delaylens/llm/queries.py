@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from delaylens.llm import exact_dedup, jaccard_join, packing
+from delaylens.llm import exact_dedup, jaccard_join, language, packing, pii
 
-MODULES = (exact_dedup, jaccard_join, packing)
+MODULES = (exact_dedup, jaccard_join, language, packing, pii)
 
 QUERIES = {name: plan for module in MODULES for name, plan in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
