@@ -5,19 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from delaylens.llm.exact_dedup import distinct_documents
+from delaylens.llm.jaccard_join import one_of_each_group
+from delaylens.llm.language import with_known_language
+from delaylens.llm.packing import pack
+from delaylens.llm.pii import masked
 from delaylens.llm.tables import stored, table
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or that two languages compress equally well, go."""
+    return with_known_language(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest doc_id."""
     return distinct_documents(docs, keep="max")
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    return one_of_each_group(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars keeps the length of the raw text."""
+    return masked(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids."""
+    return pack(docs)
+
+
 STAGES = [
+    ("language", known_language),
     ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("personal data", personal_data),
+    ("packing", packed),
 ]
 
-#: SQL can't express the compression classifier, the shingle join's components or the packing.
+#: SQL can't express the compression classifier, the vote model or the packing.
 ORACLE_SQL = None
 
 

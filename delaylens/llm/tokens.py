@@ -10,7 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are tokenised together in groups of about so many bytes.
-BYTES = 16 << 20
+BYTES = 8 << 20
+#: So many distinct words are remembered within a task before starting afresh: a bound on memory.
+KNOWN = 1 << 20
 #: Distinct words are encoded in runs of so many.
 RUN = 2_000
 
@@ -41,9 +43,29 @@ class TextEncoder:
         self.library.encode_special_tokens = True
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.begins = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.pool, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the known ones; new ones are encoded and remembered."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        new = place < 0
+        fresh = words.filter(pa.array(new))
+        flat, lengths = self._words(fresh.to_pylist())
+        place[new] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.size = np.concatenate([self.size, lengths])
+        self.pool = np.concatenate([self.pool, flat])
+        return place
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for words that each follow a space."""
@@ -71,18 +93,18 @@ class TextEncoder:
         inner[first] = False
         used = np.zeros(len(coded.dictionary), bool)
         used[index[inner]] = True
-        flat, lengths = self._words(coded.dictionary.filter(pa.array(used)).to_pylist())
+        place = self._look_up(coded.dictionary.filter(pa.array(used)))
         lead = self.whole(pc.list_element(parts, 0).to_pylist()) if len(plain) else []
         # Positions in one pool: words after a space, then the texts' first words.
-        pool = np.concatenate([flat, *lead]).astype(np.uint32, copy=False)
+        pool = np.concatenate([self.pool, *lead]).astype(np.uint32, copy=False)
         word_len = np.zeros(len(used), np.int64)
-        word_len[used] = lengths
+        word_len[used] = self.size[place]
         word_at = np.zeros(len(used), np.int64)
-        word_at[used] = np.cumsum(lengths) - lengths
+        word_at[used] = self.at[place]
         size, at = word_len[index], word_at[index]
         lead_len = np.array([len(x) for x in lead], np.int64)
         size[first] = lead_len
-        at[first] = len(flat) + np.cumsum(lead_len) - lead_len
+        at[first] = len(self.pool) + np.cumsum(lead_len) - lead_len
         ends = np.cumsum(size)
         ids = pool[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         total = np.concatenate([[0], ends])[limits]
