@@ -28,12 +28,12 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each linked node can reach.
+    """(node, component): the smallest node, a number or a string, that each linked node can reach.
 
     Nodes without a link to another node don't appear. Null ends and self-links are ignored,
     repeated links count once. Stops when a round changes nothing.
     """
-    x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
+    x, y = F.col(a), F.col(b)
     edges = stored(
         links.where(x.isNotNull() & y.isNotNull() & (x != y))
         .select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))

@@ -7,9 +7,9 @@ for two points. Pairs that pass this bound are verified on the sets.
 
 On its own such a tree doesn't prune texts of like length, because random counts look alike in
 64 dimensions, so it is grown inside blocks that no link can leave: linked sets share one of
-their ``n - ceil(0.8 n) + 1`` first shingles in any common order, and blocks are the connected
-components of that relation. The order puts shingles that many documents share last, so that a
-common passage joins nothing. Neither order nor leaves change the result.
+their ``n - ceil(0.8 n) + 1`` first shingles in any common order, and the points that share one
+and pass the bound belong to one block. The order puts shingles that many documents share last,
+so that a common passage joins nothing. Neither order nor tiles nor leaves change the result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from delaylens.llm.tables import stored, table, texts
 GROUPS = 64
 #: Rows and shingles that one leaf of the tree should hold; two leaves meet in one task.
 LEAF_ROWS, LEAF_SHINGLES = 512, 1_000_000
+#: Points sharing a first shingle are compared in tiles of so many.
+TILE = 512
 #: Common shingles that are put last. A bound on memory: it shifts cost, never the result.
 COMMON = 65_536
 #: Overlaps are counted by matrix product over so many shingles at a time.
@@ -87,15 +89,91 @@ def _profiles(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.binary()),
                     pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[3] for r in rows], pa.list_(pa.int32())),
                 ],
                 names=["doc_id", "n", "digest", "first", "counts"],
             )
 
-    schema = "doc_id long, n long, digest binary, first array<long>, counts array<long>"
+    schema = "doc_id long, n long, digest binary, first array<long>, counts array<int>"
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
 
 
+def _star(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For linked places (i, j) of ascending ids: each id and the smallest one it reaches, where that is another."""
+    label = np.arange(len(ids))
+    while len(i):
+        low, before = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label < np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
+
+
+def _bound(counts: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be linked: overlap <= summed minima, and it must be p / (100 + p) of both sizes."""
+    most = np.zeros((len(left), len(right)), np.int64)
+    box = np.minimum(counts[left].max(0), counts[right].max(0)).sum()
+    if box * (100 + percent) < (n[left].min() + n[right].min()) * percent:
+        return most > 0
+    for g in range(GROUPS):
+        most += np.minimum(counts[left, g][:, None], counts[right, g][None, :])
+    return most * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
+
+
+def _near(percent: int):
+    """Of the points of one tile, those that the bound lets be linked: (doc_id, low)."""
+
+    def near(batches):
+        for batch in batches:
+            a, b = [], []
+            points = batch.column(0)
+            limits = points.offsets.to_numpy()
+            flat = points.flatten()
+            every_id, every_n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            every = flat.field(2).flatten().to_numpy().reshape(-1, GROUPS)
+            limits = limits - limits[0]
+            for lo, hi in zip(limits[:-1], limits[1:]):
+                order = lo + np.argsort(every_id[lo:hi], kind="stable")
+                ids, n, counts = every_id[order], every_n[order], every[order].astype(np.int64)
+                if hi - lo == 2:
+                    i, j = np.array([0]), np.array([1])
+                    if np.minimum(counts[0], counts[1]).sum() * (100 + percent) < n.sum() * percent:
+                        continue
+                else:
+                    rows = np.arange(hi - lo)
+                    i, j = np.nonzero(np.triu(_bound(counts, n, rows, rows, percent), 1))
+                x, y = _star(ids, i, j)
+                a.append(x), b.append(y)
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], names=["doc_id", "low"]
+            )
+
+    return near
+
+
+def _plausible(points: DataFrame, percent: int) -> DataFrame:
+    """Star-shaped links between points that share a first shingle and pass the bound.
+
+    A shingle's points are dealt to tiles by hash and every two tiles meet, so that no task
+    holds them all; what leaves is at most one link per point and tile.
+    """
+    first = points.select("doc_id", F.explode("first").alias("h"))
+    buckets = first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    shared = first.join(buckets, "h").select("h", "doc_id", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
+    tiled = shared.join(points.select("doc_id", "n", "counts"), "doc_id").select(
+        "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "doc_id", "n", "counts"
+    )
+    met = tiled.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.collect_list(F.struct("doc_id", "n", "counts")).alias("points")
+    )
+    return met.where(F.size("points") > 1).select("points").mapInArrow(_near(percent), "doc_id long, low long").distinct()
+
+
 def _leaves(members: DataFrame) -> DataFrame:
     """Pack each block's points into leaves: (block, leaf) by size, then by half the groups' sum.
 
@@ -149,14 +227,13 @@ def _verify(percent: int):
         order = np.argsort(ids, kind="stable")
         ids, side, sets = ids[order], side[order], [sets[i] for i in order]
         n = np.array([len(s) for s in sets], np.int64)
+        if not side.any() or len(ids) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         same = bool(side.all())
         left = np.arange(len(ids)) if same else np.flatnonzero(side)
         right = left if same else np.flatnonzero(~side)
         counts = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets])
-        bound = np.zeros((len(left), len(right)), np.int64)
-        for g in range(GROUPS):
-            bound += np.minimum(counts[left, g][:, None], counts[right, g][None, :])
-        near = bound * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
+        near = _bound(counts, n, left, right, percent)
         if same:
             near &= ~np.eye(len(left), dtype=bool)
         left, right, near = left[near.any(1)], right[near.any(0)], near[near.any(1)][:, near.any(0)]
@@ -179,20 +256,8 @@ def _verify(percent: int):
             inter = overlap.astype(np.int64)
             union = n[left][:, None] + n[right][None, :] - inter
             linked = near & (100 * inter >= percent * union)
-            # One row per linked document: the smallest id it can reach through this pair of leaves.
-            label = np.arange(len(ids))
             i, j = np.nonzero(linked)
-            i, j = left[i], right[j]
-            while len(i):
-                low = np.minimum(label[i], label[j])
-                before = label.copy()
-                np.minimum.at(label, i, low)
-                np.minimum.at(label, j, low)
-                label = label[label]
-                if (label == before).all():
-                    break
-            moved = np.flatnonzero(label < np.arange(len(ids)))
-            a, b = ids[moved], ids[label[moved]]
+            a, b = _star(ids, left[i], right[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return verify
@@ -219,22 +284,17 @@ def jaccard_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     # One row per distinct set, under its smallest id.
     points = filled.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
     points = points.select("doc_id", "n", "first", "counts")
-    first = points.select("doc_id", F.explode("first").alias("h"))
-    buckets = first.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared = first.join(buckets.where("low < high").select("h", "low"), "h").select("doc_id", "low").distinct()
-    blocks = components(shared, "doc_id", "low")
+    blocks = components(_plausible(points, percent), "doc_id", "low")
     blocks = stored(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
     leaves = stored(_leaves(points.select("doc_id", "n", "counts").join(blocks, "doc_id")), "leaves")
     pairs = stored(_leaf_pairs(leaves, percent), "leaf-pairs")
     in_block = d.join(blocks.select("doc_id"), "doc_id", "left_semi")
     sets = in_block.mapInArrow(_sets, "doc_id long, shingles binary").join(leaves.select("doc_id", "block", "leaf"), "doc_id")
-    left = sets.join(pairs.withColumnRenamed("a", "leaf"), ["block", "leaf"]).select(
-        "block", F.col("leaf").alias("a"), "b", "doc_id", "shingles", F.lit(True).alias("left")
-    )
-    right = sets.join(pairs.where("a < b").withColumnRenamed("b", "leaf"), ["block", "leaf"]).select(
-        "block", "a", F.col("leaf").alias("b"), "doc_id", "shingles", F.lit(False).alias("left")
+    seat = pairs.select("block", F.col("a").alias("leaf"), "a", "b", F.lit(True).alias("left")).unionByName(
+        pairs.where("a < b").select("block", F.col("b").alias("leaf"), "a", "b", F.lit(False).alias("left"))
     )
-    links = left.unionByName(right).groupBy("block", "a", "b").applyInArrow(_verify(percent), "a long, b long")
+    meeting = sets.join(seat, ["block", "leaf"]).select("block", "a", "b", "doc_id", "shingles", "left")
+    links = meeting.groupBy("block", "a", "b").applyInArrow(_verify(percent), "a long, b long")
     linked = components(links)
     own = profiles.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     return own.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
