@@ -25,13 +25,13 @@ from delaylens.llm.tables import stored, table, texts
 
 GROUPS = 64
 #: Rows and shingles that one leaf of the tree should hold; two leaves meet in one task.
-LEAF_ROWS, LEAF_SHINGLES = 512, 1_000_000
+LEAF_ROWS, LEAF_SHINGLES = 2_048, 3_000_000
 #: Points sharing a first shingle are compared in tiles of so many.
 TILE = 512
 #: Common shingles that are put last. A bound on memory: it shifts cost, never the result.
 COMMON = 65_536
 #: Overlaps are counted by matrix product over so many shingles at a time.
-COLUMNS = 4_096
+COLUMNS = 2_048
 
 
 def _common_shingles(docs: DataFrame) -> np.ndarray:
@@ -118,6 +118,9 @@ def _bound(counts: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarra
     box = np.minimum(counts[left].max(0), counts[right].max(0)).sum()
     if box * (100 + percent) < (n[left].min() + n[right].min()) * percent:
         return most > 0
+    if most.size <= 4_096:  # one operation for the many small tiles
+        most = np.minimum(counts[left][:, None, :], counts[right][None, :, :]).sum(2)
+        return most * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
     for g in range(GROUPS):
         most += np.minimum(counts[left, g][:, None], counts[right, g][None, :])
     return most * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
