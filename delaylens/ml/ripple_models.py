@@ -8,14 +8,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
 from delaylens.ml.common import long_metrics, with_probability, with_weight
 from delaylens.operators import evaluate as E
+from delaylens.operators.ordered import running
 from delaylens.operators.ripple import DATASET_COLUMNS, TARGETS
-from delaylens.operators.sampling import row_hash, sample_n, temporal_split
+from delaylens.operators.sampling import row_hash, temporal_split
 from delaylens.session import materialize, shared_dir
 
 CATEGORIES = ("station_key", "subway_code", "subway_line", "day_name")
@@ -142,20 +143,18 @@ def regression_metrics(scored: DataFrame, prediction: str, name: str, positive_o
 
 
 def permutation_importance(
-    rows: DataFrame, model: PipelineModel, prediction: str = "log_prediction", n: int = 2_000, seed: int = 42
+    rows: DataFrame, model: PipelineModel, prediction: str = "log_prediction", seed: int = 42
 ) -> DataFrame:
-    """Effect of shuffling one feature at a time on a sample of at most ``n`` rows.
+    """Effect of shuffling one feature at a time, over all rows.
 
-    Every sampled row appears once per feature with that feature taken from another row;
+    Both orders of the rows are ranked slice by slice. Every row appears once per feature with that feature taken from another row;
     all copies are scored in one pass. Gives the mean absolute change of the prediction
     and the rise of the squared error.
     """
-    sample = sample_n(rows, n, ["incident_id", "subway_timestamp"], seed)
-    # The sample is bounded by n, so these two rankings are too.
-    own = Window.orderBy(row_hash(["incident_id"], seed + 1), "incident_id")
-    other = Window.orderBy(row_hash(["incident_id"], seed + 2), "incident_id")
+    keys, one = ["incident_id", "subway_timestamp"], rows.withColumn("_one", F.lit(1))
+    first = running(one, [row_hash(keys, seed + 1), *keys], sums=["_one"]).withColumnRenamed("_one_run", "_own")
     ranked = materialize(
-        sample.withColumns({"_own": F.row_number().over(own), "_other": F.row_number().over(other)})
+        running(first, [row_hash(keys, seed + 2), *keys], sums=["_one"]).withColumnRenamed("_one_run", "_other").drop("_one")
     )
     donors = ranked.select(F.col("_other").alias("_own"), *[F.col(c).alias(f"_d_{c}") for c in FEATURES])
     base = model.transform(ranked).select("_own", F.col(prediction).alias("_base"))

@@ -30,9 +30,8 @@ def _count(df: DataFrame, *keys: str, name: str = "flight_count") -> DataFrame:
 
 
 def _seen_months(df: DataFrame) -> list[int]:
-    """Months that occur in the data, at most twelve."""
-    months = df.select("month").filter(F.col("month").isNotNull()).distinct()
-    return sorted(r["month"] for r in months.limit(12).collect())
+    """All months that occur in the data: as many as one key has rows in the result."""
+    return sorted(r["month"] for r in df.select("month").dropna().distinct().collect())
 
 
 def kpis(df: DataFrame) -> DataFrame:
@@ -105,8 +104,14 @@ def within_top_airports(routes: DataFrame, count: str, k: int) -> DataFrame:
     return routes
 
 
-def matrix(routes: DataFrame, value: str, dests: list[str], fill: float | None = None) -> DataFrame:
-    """Origin by destination, one column per given destination."""
+def matrix(routes: DataFrame, value: str, dests: list[str] | None = None, fill: float | None = None) -> DataFrame:
+    """Origin by destination, one column per given destination.
+
+    Without a list the columns are the destinations of ``routes``, which ``within_top_airports``
+    has bounded to k, so none is lost.
+    """
+    if dests is None:
+        dests = sorted(r["dest"] for r in routes.select("dest").dropna().distinct().collect())
     wide = routes.groupBy("origin").pivot("dest", dests).agg(F.first(value))
     return wide.fillna(fill) if fill is not None else wide
 

@@ -15,12 +15,6 @@ from pyspark.sql import functions as F
 from delaylens.functions import scalars as S
 from delaylens.session import materialize
 
-# Up to this many distinct (key, value) pairs an exact quantile is one built-in aggregate;
-# above it the histogram is ranked slice by slice.
-HISTOGRAM_LIMIT = 1_000_000
-# Classes a split may keep apart; their sizes and cuts pass through the driver.
-MAX_CLASSES = 1_000
-
 
 def _same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
@@ -96,22 +90,15 @@ def histogram(
 
 
 def histogram_quantiles(
-    hist: DataFrame, probs: Mapping[str, float], keys: Sequence[str] = (), limit: int | None = None
+    hist: DataFrame, probs: Mapping[str, float], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Quantiles with linear interpolation per key from a ``histogram``.
 
-    A small histogram is finished by one built-in aggregate; a larger one is ranked with
-    ``running``, where no task holds a key. Both give the same numbers.
+    The histogram is ranked with ``running`` whatever its size, so no task holds a key.
     """
     keys = list(keys)
     names, ranks = list(probs), [float(p) for p in probs.values()]
     hist = hist.filter(F.col("_v").isNotNull())
-    if hist.count() <= (HISTOGRAM_LIMIT if limit is None else limit):
-        got = hist.groupBy(*keys).agg(
-            F.percentile("_v", F.array(*map(F.lit, ranks)), F.col("_n")).alias("_q")
-        )
-        return got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-
     ranked = running(hist.select(*keys, "_v", "_n"), ["_v"], sums=["_n"], keys=keys)
     sizes = hist.groupBy(*[F.col(k).alias(f"_s_{k}") for k in keys]).agg(F.sum("_n").alias("_size"))
     if keys:
@@ -142,7 +129,6 @@ def quantiles(
     probs: Mapping[str, float],
     keys: Sequence[str] = (),
     approx: bool = False,
-    limit: int | None = None,
 ) -> DataFrame:
     """Quantiles per key; ``probs`` maps output names to ranks.
 
@@ -153,12 +139,12 @@ def quantiles(
         kept = df.filter(F.col(value).isNotNull())
         got = kept.groupBy(*keys).agg(F.percentile_approx(value, ranks, 10_000).alias("_q"))
         return got.select(*keys, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return histogram_quantiles(histogram(df, value, keys), probs, keys, limit)
+    return histogram_quantiles(histogram(df, value, keys), probs, keys)
 
 
 def first_k(
     df: DataFrame,
-    take: Callable[[int], int],
+    take: Callable[[Column], Column],
     coarse: str,
     fine: Sequence[str | Column],
     flag: str = "_first",
@@ -166,51 +152,37 @@ def first_k(
 ) -> DataFrame:
     """Mark exactly the first ``take(rows)`` rows in the order (coarse, fine) with 1.
 
-    With ``key`` (a label of a few classes) every class is cut by itself. Only the counts
-    per coarse value are ranked; rows at the one value where a cut falls are ranked among
-    themselves, all others are decided by a comparison.
+    With ``key`` every class is cut by itself, however many there are. Only the counts per
+    coarse value are ranked; rows at the one value where a cut falls are ranked among
+    themselves, all others are decided by a comparison. Cuts are joined as columns of the
+    data's own types, so no session zone enters.
     """
     keys = [key] if key else []
     counts = materialize(df.groupBy(*keys, coarse).agg(F.count("*").alias("_n")))
-    classes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size")).limit(MAX_CLASSES + 1).collect()
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{key} has more than {MAX_CLASSES} classes")
-    sizes = {(r[key] if key else None): r["_size"] or 0 for r in classes}
-    wanted = {value: min(max(take(size), 0), size) for value, size in sizes.items()}
-
-    def of(value) -> Column:
-        return F.col(key).eqNullSafe(F.lit(value)) if key else F.lit(True)
-
-    def per_class(values: Mapping, default) -> Column:
-        out = F.lit(default)
-        for value, result in values.items():
-            out = F.when(of(value), F.lit(result)).otherwise(out)
-        return out
-
-    k = per_class(wanted, 0)
+    named = [F.col(k).alias("_class") for k in keys] or [F.lit(0).alias("_class")]
+    sizes = counts.groupBy(*named).agg(F.sum("_n").alias("_size"))
+    wanted = sizes.select("_class", F.least(F.greatest(take(F.col("_size")), F.lit(0)), F.col("_size")).alias("_k"))
+    ranked = running(counts, [coarse], sums=["_n"], keys=keys)
+    own = F.col(key) if key else F.lit(0)
     cuts = (
-        running(counts, [coarse], sums=["_n"], keys=keys)
-        .filter((F.col("_n_run") >= k) & (F.col("_n_run") - F.col("_n") < k))
-        .withColumn("_rest", k - F.col("_n_run") + F.col("_n"))
-        .collect()  # one row per class
+        ranked.join(wanted, _same(own, F.col("_class")))
+        .filter((F.col("_n_run") >= F.col("_k")) & (F.col("_n_run") - F.col("_n") < F.col("_k")))
+        .select(
+            "_class", F.col(coarse).alias("_edge"), (F.col("_k") - F.col("_n_run") + F.col("_n")).alias("_rest"),
+            F.col("_n").alias("_at_edge"),
+        )
     )
-    before, on_edge, rest = F.lit(False), F.lit(False), {}
-    for row in cuts:
-        value, edge = (row[key] if key else None), F.lit(row[coarse])
-        lower = F.col(coarse).isNull() | (F.col(coarse) < edge)
-        if row["_rest"] == row["_n"]:
-            before = before | (of(value) & (lower | F.col(coarse).eqNullSafe(edge)))
-        else:
-            before = before | (of(value) & lower & ~F.col(coarse).eqNullSafe(edge))
-            on_edge = on_edge | (of(value) & F.col(coarse).eqNullSafe(edge))
-            rest[value] = row["_rest"]
-    before, on_edge = F.coalesce(before, F.lit(False)), F.coalesce(on_edge, F.lit(False))
-    if not rest:
-        return df.withColumn(flag, before.cast("int"))
-    known = df.filter(~on_edge).withColumn(flag, before.cast("int"))
-    ranked = running(df.filter(on_edge).withColumn("_one", F.lit(1)), fine, sums=["_one"], keys=keys)
-    marked = ranked.withColumn(flag, (F.col("_one_run") <= per_class(rest, 0)).cast("int"))
-    return known.unionByName(marked.drop("_one", "_one_run"))
+    cuts = materialize(cuts)  # one row per class
+    placed = df.join(cuts, _same(own, F.col("_class")), "left")
+    on_edge = F.col("_rest").isNotNull() & _same(F.col(coarse), F.col("_edge"))
+    lower = F.coalesce(F.col(coarse) < F.col("_edge"), F.col(coarse).isNull() & F.col("_edge").isNotNull())
+    split = on_edge & (F.col("_rest") < F.col("_at_edge"))
+    known = placed.filter(~split).withColumn(flag, (F.col("_rest").isNotNull() & (lower | on_edge)).cast("int"))
+    if cuts.filter(F.col("_rest") < F.col("_at_edge")).isEmpty():
+        return known.select(*df.columns, flag)
+    tied = placed.filter(split).withColumn("_one", F.lit(1))
+    marked = running(tied, fine, sums=["_one"], keys=keys).withColumn(flag, (F.col("_one_run") <= F.col("_rest")).cast("int"))
+    return known.select(*df.columns, flag).unionByName(marked.select(*df.columns, flag))
 
 
 def top_k(df: DataFrame, metric: str, k: int, *tie_break: str, ascending: bool = False) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.operators.ordered import first_k
-from delaylens.session import materialize
 
 UNIT = 1 << 53
 
@@ -26,15 +25,15 @@ def uniform(keys: Sequence[str], seed: int) -> Column:
 def _by_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     """Rows with their hash and its leading bits, which serve as the coarse order.
 
-    Computed once: an exact cut reads the rows three times and must see the same ones.
+    Nothing is stored: the hash depends on the row alone, so every reading sees the same order.
     """
     hashed = df.withColumn("_hash", row_hash(keys, seed))
-    return materialize(hashed.withColumn("_cell", F.shiftright(F.col("_hash"), 44)))
+    return hashed.withColumn("_cell", F.shiftright(F.col("_hash"), 44))
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement."""
-    picked = first_k(_by_hash(df, keys, seed), lambda rows: min(n, rows), "_cell", ["_hash", *keys])
+    picked = first_k(_by_hash(df, keys, seed), lambda rows: F.least(F.lit(n), rows), "_cell", ["_hash", *keys])
     return picked.filter(F.col("_first") == 1).drop("_hash", "_cell", "_first")
 
 
@@ -60,7 +59,7 @@ def stratified_split(
     if not exact:
         return df.withColumn("is_test", (uniform(keys, seed) < test_share).cast("int"))
     cut = first_k(
-        _by_hash(df, keys, seed), lambda rows: round(rows * test_share), "_cell", ["_hash", *keys],
+        _by_hash(df, keys, seed), lambda rows: F.bround(rows * test_share).cast("bigint"), "_cell", ["_hash", *keys],
         flag="is_test", key=label,
     )
     return cut.drop("_hash", "_cell")
@@ -68,4 +67,4 @@ def stratified_split(
 
 def temporal_split(df: DataFrame, share: float, ts: str, tie_break: Sequence[str]) -> DataFrame:
     """Add ``is_train`` = 1 for the first ``int(rows * share)`` rows in time order."""
-    return first_k(df, lambda rows: int(rows * share), ts, [ts, *tie_break], flag="is_train")
+    return first_k(df, lambda rows: F.floor(rows * share), ts, [ts, *tie_break], flag="is_train")

@@ -46,7 +46,7 @@ feed AS (
     concat('K', CAST(json_extract_string(props, '$.k') AS INTEGER) % 8) AS code,
     concat('L', user_id % 3) AS line, value AS min_delay,
     CAST(json_extract_string(props, '$.k') AS DOUBLE) AS min_gap, ts AS timestamp
-  FROM events WHERE event_type <> 'purchase'),
+  FROM events),
 keyed AS (
   SELECT *, regexp_replace(trim(regexp_replace(upper(station), '\\s+', ' ', 'g')),
                            '( STATION| STN| PLATFORM| AND .*)', '', 'g') AS station_key
@@ -58,11 +58,8 @@ surface AS (SELECT * FROM transit WHERE mode <> 'subway')"""
 CODEBOOK = """
 codebook AS (
   SELECT code, arg_max(description, ord) AS description FROM (
-    SELECT concat('K', n_nationkey) AS code, n_name AS description, n_nationkey AS ord
-    FROM nation WHERE n_nationkey < 7
-    UNION ALL
-    SELECT concat('K', n_nationkey - 8), n_name, 1000 + n_nationkey FROM nation
-    WHERE n_nationkey BETWEEN 8 AND 10)
+    SELECT concat('K', n_nationkey % 7) AS code, n_name AS description, n_nationkey AS ord
+    FROM nation)
   GROUP BY code)"""
 
 INCIDENTS = (

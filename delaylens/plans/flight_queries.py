@@ -13,6 +13,7 @@ from delaylens.operators.ordered import top_k
 from delaylens.operators.sampling import sample_n
 from delaylens.plans.check_views import FLIGHTS, with_views
 from delaylens.plans.registry import query
+from delaylens.session import materialize
 from delaylens.sources.tables import Tables, flights
 
 def rows_counted():
@@ -184,13 +185,13 @@ def top_key_semi_join(t: Tables) -> DataFrame:
 
 @query(sql("""
 , c AS (SELECT month, op_unique_carrier, count(*) AS n FROM flights
-  WHERE cancelled = 1 AND op_unique_carrier <> 'C3' GROUP BY ALL)
+  WHERE cancelled = 1 AND day_of_month = 31 GROUP BY ALL)
 SELECT CAST(m.month AS BIGINT) AS month, k.op_unique_carrier, coalesce(c.n, 0) AS cancelled_flights
 FROM range(1, 13) m(month) CROSS JOIN (SELECT DISTINCT op_unique_carrier FROM flights) k
 LEFT JOIN c ON c.month = m.month AND c.op_unique_carrier = k.op_unique_carrier"""))
 def zero_filled_counts(t: Tables) -> DataFrame:
-    f = flights(t, "month", "op_unique_carrier", "cancelled")
-    hit = f.filter((F.col("cancelled") == 1) & (F.col("op_unique_carrier") != "C3"))
+    f = flights(t, "month", "op_unique_carrier", "cancelled", "day_of_month")
+    hit = f.filter((F.col("cancelled") == 1) & (F.col("day_of_month") == 31))  # shorter months have none
     counts = hit.groupBy("month", "op_unique_carrier").agg(F.count("*").alias("cancelled_flights"))
     return J.zero_fill(counts, f, "op_unique_carrier", "month", A.MONTHS, {"cancelled_flights": 0})
 
@@ -393,20 +394,17 @@ def busiest_routes(t: Tables) -> DataFrame:
     return A.busiest_routes(flights(t, "origin", "dest"))
 
 
-VOLUME_DESTS = [f"NATION_{i}" for i in range(25)]
-
-
 @query(sql("""
 , r AS (SELECT origin, dest, count(*) AS n FROM flights GROUP BY ALL HAVING count(*) >= 100),
 k AS (SELECT * FROM r
   WHERE origin IN (SELECT origin FROM r GROUP BY origin ORDER BY sum(n) DESC, origin LIMIT 20)
     AND dest IN (SELECT dest FROM r GROUP BY dest ORDER BY sum(n) DESC, dest LIMIT 20))
-SELECT origin, """ + ", ".join(
-    f"coalesce(max(n) FILTER (WHERE dest = '{d}'), 0) AS \"{d}\"" for d in VOLUME_DESTS
-) + " FROM k GROUP BY origin"))
+SELECT * FROM (PIVOT (SELECT o.origin, d.dest, coalesce(k.n, 0) AS n
+  FROM (SELECT DISTINCT origin FROM k) o CROSS JOIN (SELECT DISTINCT dest FROM k) d
+  LEFT JOIN k ON k.origin = o.origin AND k.dest = d.dest) ON dest USING max(n) GROUP BY origin)"""))
 def route_volume_matrix(t: Tables) -> DataFrame:
     kept = A.route_volume(flights(t, "origin", "dest"))
-    return A.matrix(kept, "flight_count", VOLUME_DESTS, fill=0)
+    return A.matrix(materialize(kept), "flight_count", fill=0)
 
 
 @query(sql("""

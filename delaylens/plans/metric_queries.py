@@ -129,6 +129,18 @@ def threshold_sweep(t: Tables) -> DataFrame:
     return E.threshold_scores(scored(t), "label", "score")
 
 
+@query(sql("""
+, th AS (SELECT CASE WHEN i = 35 THEN 0.8 ELSE 0.1::DOUBLE + i * ((0.8::DOUBLE - 0.1::DOUBLE) / 35) END AS threshold
+  FROM range(36) x(i)),
+h AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY 1),
+f AS (SELECT threshold, 2 * sum(pos) FILTER (WHERE score >= threshold) / (
+    sum(pos) FILTER (WHERE score >= threshold) + sum(neg) FILTER (WHERE score >= threshold) + sum(pos)) AS f1
+  FROM th, h GROUP BY threshold)
+SELECT round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1"""))
+def best_threshold(t: Tables) -> DataFrame:
+    return E.best_threshold(scored(t), "label", "score")
+
+
 @query(sql("""
 SELECT round(count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1), 6) AS scale_pos_weight,
   round(greatest(1, (1 - avg(label)) / greatest(avg(label), 1e-6)), 6) AS balanced_weight,

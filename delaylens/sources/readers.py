@@ -39,14 +39,25 @@ def _conform(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def load_flights(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """CSV with a header, all columns text.
+
+    The files under one path must have one header: another one is an error, since Spark would
+    match columns by place. Several paths may differ; their columns are matched by name.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    parts = [spark.read.option("header", True).option("enforceSchema", False).csv(p) for p in paths]
+    return union_feeds(*parts)
+
+
+def load_flights(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv") -> DataFrame:
     """Flight table with fixed types; ``fl_date`` that is no date becomes null.
 
-    Columns are matched by header name, so a file may carry them in any order or leave
+    Columns are matched by header name, so a path may carry them in any order or leave
     some out.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
+        raw = read_csv(spark, path)
     else:
         raw = spark.read.format(fmt).load(path)
     return _conform(raw)
@@ -83,12 +94,12 @@ def load_travel_time(
     by_folder = F.regexp_extract(F.col("_metadata.file_path"), r"-(\d+)/[^/]*$", 1).try_cast("int")
     # The session zone never enters: text with an offset is shifted by hand, text without
     # one is already UTC.
-    offset = F.regexp_extract("updated", r"([+-]\d{2}:?\d{2})$", 1)
+    offset = F.regexp_extract("updated", r":\d{2}(?:\.\d+)?\s*([+-]\d{2}(?::?\d{2})?)$", 1)
     digits = F.regexp_replace(offset, ":", "")
     minutes = (
-        F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+        F.substring(digits, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 4, 2).try_cast("int"), F.lit(0))
     ) * F.when(digits.startswith("-"), -1).otherwise(1)
-    wall = F.regexp_replace("updated", r"\s*(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+    wall = F.regexp_replace("updated", r"(:\d{2}(?:\.\d+)?)\s*(?:Z|[+-]\d{2}(?::?\d{2})?)$", "$1").try_cast("timestamp_ntz")
     utc = wall - F.make_dt_interval(mins=F.coalesce(minutes, F.lit(0)))
     out = raw.select(
         "resultId", "timeInSeconds", "count", utc.alias("updated"),
@@ -115,8 +126,10 @@ def clean_mode(raw: DataFrame, mode: str, zone: str = S.LOCAL_ZONE) -> DataFrame
     return out.filter(F.col("timestamp").isNotNull() & (F.col("station_key") != ""))
 
 
-def load_mode_file(spark: SparkSession, path: str, mode: str, zone: str = S.LOCAL_ZONE) -> DataFrame:
-    return clean_mode(spark.read.option("header", True).csv(path), mode, zone)
+def load_mode_file(
+    spark: SparkSession, path: str | Sequence[str], mode: str, zone: str = S.LOCAL_ZONE
+) -> DataFrame:
+    return clean_mode(read_csv(spark, path), mode, zone)
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:
@@ -130,19 +143,24 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
 def merge_codebook(files: Sequence[DataFrame]) -> DataFrame:
     """One description per upper-case code; a later file, then a later row, wins.
 
-    A table without both columns is skipped. Row order inside a file is its ``row_no``
-    column if it has one, otherwise the scan order of the file.
+    A table without both columns is skipped. Row order inside a table is its ``row_no``
+    column if it has one; tables of ``load_codebook`` are in the order of their part files'
+    names and of the lines in them.
     """
     parts = []
     for number, book in enumerate(files):
         if not {"CODE", "DESCRIPTION"} <= set(book.columns):
             continue
-        row = F.col("row_no") if "row_no" in book.columns else F.monotonically_increasing_id()
+        if "_line" in book.columns:
+            row = F.col("_line")
+        else:
+            number_in = F.col("row_no") if "row_no" in book.columns else F.monotonically_increasing_id()
+            row = F.struct(F.lit("").alias("name"), F.lit(0).cast("bigint").alias("block"), number_in.cast("bigint").alias("row"))
         parts.append(
             book.select(
                 F.upper(F.col("CODE").cast("string")).alias("code"),
                 F.col("DESCRIPTION").cast("string").alias("description"),
-                F.struct(F.lit(number).alias("file"), row.cast("bigint").alias("row")).alias("at"),
+                F.struct(F.lit(number).alias("file"), row.alias("row")).alias("at"),
             ).filter(F.col("code").isNotNull())
         )
     if not parts:
@@ -160,7 +178,12 @@ def load_codebook(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     books = []
     for path in paths:
         try:
-            books.append(spark.read.option("header", True).csv(path))
+            book = read_csv(spark, path)
+            line = F.struct(
+                F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("row"),
+            )
+            books.append(book.withColumn("_line", line))
         except AnalysisException:
             continue
     return merge_codebook(books)

@@ -110,3 +110,16 @@ def test_imputation_falls_back_to_the_carrier(spark):
     )
     got = A.impute_group_median(df).groupBy("op_unique_carrier", "origin").agg(F.sum("arr_delay").alias("s"))
     assert {(r[0], r[1]): r.s for r in got.collect()} == {("C", "A"): 6.0, ("C", "X"): 2.0, ("D", "A"): None}
+
+
+def test_months_are_not_capped(spark):
+    """Fifteen month values, as a file with wrong months has them: no row is lost."""
+    rows = spark.range(60).select(
+        (F.col("id") % 15).cast("int").alias("month"), F.lit("C1").alias("op_unique_carrier"), F.lit(0).alias("cancelled")
+    )
+    assert A.cancel_rate_by_month(rows).agg(F.sum("flights")).first()[0] == 60
+
+
+def test_matrix_takes_the_destinations_it_finds(spark):
+    routes = spark.createDataFrame([("A", "X", 3), ("A", "Y", 2), ("B", "Z", 1)], "origin string, dest string, n int")
+    assert A.matrix(routes, "n", fill=0).orderBy("origin").collect() == [("A", 3, 2, 0), ("B", 0, 0, 1)]

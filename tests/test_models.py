@@ -1,6 +1,9 @@
 """Models: planted signals, unseen categories, repeatability, persistence."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -121,3 +124,26 @@ def test_blend(spark):
     df = spark.createDataFrame([(0.5, 10.0), (0.4, 10.0)], "p double, a double")
     rows = [(r.hurdle, r.expected) for r in P.blend(df, "p", "a", 0.5).collect()]
     assert rows == [(10.0, 5.0), (0.0, 4.0)]
+
+
+def test_detect_keeps_rows_with_nan(spark):
+    rows = [(i, float(i % 7), float("nan") if i % 100 == 0 else None if i % 100 == 1 else float(i % 11)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    out = I.detect(df, ["a", "b"], ["id"], contamination=0.02, trees=10, size=64)
+    assert out.count() == 600 and out.filter("anomaly_score IS NULL").count() == 12
+
+
+def test_forest_runs_on_workers_without_the_package(tmp_path):
+    """From another folder and without PYTHONPATH, as on an executor."""
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from delaylens.session import local_session\n"
+        "from delaylens.ml import isolation as I\n"
+        "spark = local_session(2)\n"
+        "df = spark.range(200).selectExpr('id', 'double(id % 7) a', 'double(id % 11) b')\n"
+        "assert I.detect(df, ['a', 'b'], ['id'], trees=5, size=32).count() == 200\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -41,21 +41,19 @@ def test_hot_key_is_cut_into_slices(skewed, spark):
     assert largest < 1400 / 3
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_quantiles_both_ways(skewed, limit):
+def test_quantiles_like_pandas(skewed):
     pandas = skewed.filter("k is not null").toPandas().groupby("k")["x"].quantile([0.01, 0.5, 0.9]).unstack()
     got = quantiles(
-        skewed.filter("k is not null"), "x", {"a": 0.01, "b": 0.5, "c": 0.9}, keys=["k"], limit=limit
+        skewed.filter("k is not null"), "x", {"a": 0.01, "b": 0.5, "c": 0.9}, keys=["k"]
     ).collect()
     assert len(got) == 3
     for r in got:
         assert [r["a"], r["b"], r["c"]] == pytest.approx(list(pandas.loc[r["k"]]), abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_quantiles_without_keys_skip_nulls(spark, limit):
+def test_quantiles_without_keys_skip_nulls(spark):
     df = spark.createDataFrame([(1.0,), (None,), (2.0,), (4.0,), (float("nan"),)], "x double")
-    assert quantiles(df, "x", {"m": 0.5, "q": 0.25}, limit=limit).first().asDict() == {"m": 2.0, "q": 1.5}
+    assert quantiles(df, "x", {"m": 0.5, "q": 0.25}).first().asDict() == {"m": 2.0, "q": 1.5}
 
 
 def test_histogram_merges_extra(skewed):
@@ -72,18 +70,37 @@ def test_approximate_quantile_is_close(skewed):
 
 @pytest.mark.parametrize("k", [0, 1, 700, 1333, 2000, 5000])
 def test_first_k_is_exact(skewed, k):
-    out = first_k(skewed, lambda rows: k, "t", ["t", "id"])
+    out = first_k(skewed, lambda rows: F.lit(k), "t", ["t", "id"])
     picked = {r["id"] for r in out.filter("_first = 1").collect()}
     ordered = [r["id"] for r in skewed.orderBy("t", "id").collect()]
     assert out.count() == 2000 and picked == set(ordered[:k])
 
 
 def test_first_k_per_class(skewed):
-    out = first_k(skewed, lambda rows: rows // 3, "t", ["t", "id"], key="k")
+    out = first_k(skewed, lambda rows: F.floor(rows / 3), "t", ["t", "id"], key="k")
     counts = {r["k"]: (r["n"], r["f"]) for r in out.groupBy("k").agg(F.count("*").alias("n"), F.sum("_first").alias("f")).collect()}
     assert counts == {"hot": (1400, 466), "b": (500, 166), "c": (90, 30), None: (10, 3)}
 
 
+def test_first_k_keeps_every_class(spark):
+    many = spark.range(6000).select((F.col("id") % 1500).alias("k"), "id")
+    out = first_k(many, lambda rows: F.floor(rows / 2), "id", ["id"], key="k")
+    per_class = out.groupBy("k").agg(F.count("*").alias("n"), F.sum("_first").alias("f"))
+    assert per_class.count() == 1500 and per_class.filter("n = 4 AND f = 2").count() == 1500
+
+
+def test_time_cut_does_not_depend_on_the_zone(spark):
+    rows = spark.range(100).select("id", F.expr("timestamp_ntz'2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 7)").alias("ts"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/Toronto", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            train = H.temporal_split(rows, 0.8, "ts", ["id"]).filter("is_train = 1")
+            assert sorted(r["id"] for r in train.collect()) == list(range(80)), other
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_sample_sizes_and_repeatability(skewed):
     once = sorted(r["id"] for r in H.sample_n(skewed, 123, ["id"]).collect())
     again = sorted(r["id"] for r in H.sample_n(skewed.repartition(3), 123, ["id"]).collect())

@@ -92,3 +92,32 @@ def test_metrics(spark, tmp_path):
     assert sinks.read_metrics(spark, path).collect() == df.collect()
     with pytest.raises(Exception):
         sinks.read_metrics(spark, str(tmp_path / "none")).collect()
+
+
+def test_short_offsets_and_dates_alone(spark, tmp_path):
+    text = "resultId,timeInSeconds,count,updated\nA,1,1,2014-01-01 00:00:00-05\nB,1,1,2014-01-01 00:00:00.5+0530\nC,1,1,2014-01-01\nD,1,1,2014-01-01T10:00:00Z\n"
+    path = write(tmp_path / "travel-time-2014.csv", text)
+    got = {r.resultId: r.updated for r in readers.load_travel_time(spark, path).collect()}
+    assert got == {
+        "A": dt.datetime(2014, 1, 1, 5), "B": dt.datetime(2013, 12, 31, 18, 30, 0, 500000),
+        "C": dt.datetime(2014, 1, 1), "D": dt.datetime(2014, 1, 1, 10),
+    }
+
+
+def test_headers_in_another_order(spark, tmp_path):
+    (tmp_path / "both").mkdir()
+    a = write(tmp_path / "both" / "a.csv", "origin,dest,month\nA,B,1\n")
+    b = write(tmp_path / "both" / "b.csv", "dest,origin\nD,C\n")
+    rows = readers.load_flights(spark, [a, b]).orderBy("origin").collect()
+    assert [(r.origin, r.dest, r.month) for r in rows] == [("A", "B", 1), ("C", "D", None)]
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.load_flights(spark, str(tmp_path / "both")).collect()
+
+
+def test_last_row_of_part_files_wins(spark, tmp_path):
+    folder = tmp_path / "codes"
+    folder.mkdir()
+    write(folder / "part-0.csv", "CODE,DESCRIPTION\nx,first\n" + "y,filler\n" * 3000)
+    write(folder / "part-1.csv", "CODE,DESCRIPTION\nX,second\n")
+    got = {r.code: r.description for r in readers.load_codebook(spark, [str(folder)]).collect()}
+    assert got["X"] == "second"
