@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylens.llm.tables import table
+from delaylens.llm.tables import share_by_hash, table
 
 #: Bound of the training sample: pages, and the characters a page may have to be in it.
 SAMPLE_PAGES, SAMPLE_CHARS = 160, 60_000
@@ -334,7 +334,8 @@ def train(pages: DataFrame) -> Boosted:
     with tags and class names, taken away, and with boxes of other pages' text, so that the trees
     learn from text, links and names alike.
     """
-    rows = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("page_id", "html")
+    rows = pages.where(share_by_hash("page_id", pages.select("page_id").count(), SAMPLE_PAGES)).select("page_id", "html")
+    rows = rows.where(F.length("html").between(1, SAMPLE_CHARS))
     sample = rows.orderBy(F.xxhash64("page_id"), "html").limit(SAMPLE_PAGES).collect()
     return train_on([r.html for r in sample])
 

@@ -30,5 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share_by_hash(col: Column | str, rows: int, wanted: int) -> Column:
+    """Rows whose hash is so small that about twice ``wanted`` of ``rows`` have one.
+
+    Put before taking the smallest hashes, it keeps every task from sending ``wanted`` rows.
+    """
+    share = min(1.0, 2 * (wanted + 32) / max(rows, 1))
+    return F.xxhash64(col) <= F.lit(2**63 - 1 if share == 1 else int(share * 2**64) - 2**63)
+
+
 def crc32_of_id(col: Column) -> Column:
     return F.crc32(col.cast("string"))

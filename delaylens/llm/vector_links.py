@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaylens.llm.components import components
-from delaylens.llm.tables import stored, table
+from delaylens.llm.tables import share_by_hash, stored, table
 
 #: Bound of the sample that codebooks and the number of visits are fitted on, per vector length.
 SAMPLE = 8_192
@@ -212,7 +212,8 @@ def vector_groups(
     sizes = {r.d: r.n for r in points.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
     indexes = {}
     for d, n in sizes.items():  # one round per vector length
-        rows = points.where(F.size("v") == d).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
+        near = points.where(F.size("v") == d).where(share_by_hash("rep", n, SAMPLE))
+        rows = near.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
         (_, sample), = _units(rows.column(0).combine_chunks())
         indexes[d] = fit(sample, n, threshold)
     visits = stored(_visits(points.select("rep", "copies", "v"), indexes), "visits")
