@@ -14,9 +14,9 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block, and blocks coded together: some 35 KB of counts each, 100 MB in all.
+#: Ids of a block, and blocks coded together: some 60 KB of counts and words each, 120 MB in all.
 BLOCK = 4_096
-LANES = 3_072
+LANES = 2_048
 SLOTS = 11  # bits of a context table
 STATES = 128
 #: What a digit's count grows by, and the total at which a row of counts is halved.
@@ -121,6 +121,15 @@ class _Coder:
         unit = self.range[rows] // total.astype(np.uint64)
         return np.minimum((self.code[rows] - self.low[rows]) // unit, total.astype(np.uint64) - np.uint64(1)).astype(np.int64), unit
 
+    def widen(self, begin: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+        """Give every lane twice the room for words."""
+        lanes, used = len(begin), self.at - begin
+        wide = np.zeros((lanes, 2 * room), np.uint32)
+        wide[:, :room] = self.words.reshape(lanes, room)
+        self.words, begin = wide.reshape(-1), np.arange(lanes) * 2 * room
+        self.at = begin + used
+        return begin, 2 * room
+
     def finish(self) -> None:
         for shift in (WORD, np.uint64(0)):
             self.words[self.at] = ((self.low >> shift) & LOWER).astype(np.uint32)
@@ -148,10 +157,12 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for row, i in enumerate(order):
         ids[row, : sizes[row]] = blocks[i]
     ids = np.ascontiguousarray(ids.T)
-    room = 2 * longest + 8
+    room = longest // 2 + 1_024
     begin = np.arange(len(order)) * room
     coder, model = _Coder(len(order), np.zeros(len(order) * room, np.uint32), begin), _Lanes(len(order))
     for step in range(longest):
+        if step % 256 == 0 and room - int((coder.at - begin).max()) < 3 * 256 + 8:  # at most three words a step
+            begin, room = coder.widen(begin, room)
         k = int(np.searchsorted(-sizes, -step))  # lanes longer than this step
         now = ids[step, :k].astype(np.int64)
         one, two, row = model.contexts(k)

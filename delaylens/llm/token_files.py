@@ -22,7 +22,7 @@ from delaylens.session import scratch_path
 
 END = 0
 #: Bytes of text that a file should hold.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 18 << 20
 LAYOUT = "part int, block int, ordinal long, doc_ids array<long>, n_ids array<int>, begun boolean, done boolean, coded binary"
 
 
@@ -157,7 +157,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     and its place there. A document's pieces meet in one group; no group holds two documents.
     """
     head = spark.read.schema(LAYOUT).parquet(folder).select("part", F.explode("n_ids").alias("n"))
-    # One number per file, that is some bytes for every 24 MB of text.
+    # One number per file, that is some bytes for every 18 MB of text.
     before, total = [], 0
     for r in head.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         before.append((r.part, total))
