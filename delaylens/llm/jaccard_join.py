@@ -1,12 +1,13 @@
 """Documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-The method is a count-vector R-tree. Each set's shingles are hashed into 64 groups and the
-counts of the groups are a point. Points are packed into leaves with a bounding box, and the
+The method is a count-vector R-tree. Each set's shingles are hashed into groups, 64 of them and
+twice as many for every doubling of the set beyond 1,024, and the counts of the groups are a
+point; groups of neighbouring hashes add up to those of a coarser point. Points are packed into leaves with a bounding box, and the
 overlap of two sets is at most the sum over the groups of the smaller count, for two boxes as
 for two points. Pairs that pass this bound are verified on the sets.
 
 On its own such a tree doesn't prune texts of like length, because random counts look alike in
-64 dimensions, so it is grown inside blocks that no link can leave: linked sets share one of
+so many dimensions, so it is grown inside blocks that no link can leave: linked sets share one of
 their ``n - ceil(0.8 n) + 1`` first shingles in any common order, and the points that share one
 and pass the bound belong to one block. The order puts shingles that many documents share last,
 so that a common passage joins nothing. Neither order nor tiles nor leaves change the result.
@@ -23,7 +24,7 @@ from delaylens.llm.components import components
 from delaylens.llm.shingles import mix, shingle_sets
 from delaylens.llm.tables import stored, table, texts
 
-GROUPS = 64
+GROUPS, SET_SIZE, LEVELS = 64, 1_024, 8
 #: Rows and shingles that one leaf of the tree should hold; two leaves meet in one task.
 LEAF_ROWS, LEAF_SHINGLES = 2_048, 3_000_000
 #: Points sharing a first shingle are compared in tiles of so many.
@@ -81,8 +82,7 @@ def _profiles(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                     rank = np.where(hashes[at] == s, by_hash[at] + 1, 0)
                 first = s[np.argsort(rank, kind="stable")[:need]] if rank.any() else s[:need]
                 digest = np.array([s.sum(), mix(s + np.uint64(1)).sum()], np.uint64)
-                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-                rows.append((n, digest.tobytes(), first.view(np.int64), counts))
+                rows.append((n, digest.tobytes(), first.view(np.int64), _counts(s, int(_level(n)))))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -98,6 +98,15 @@ def _profiles(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """How often the 64 groups are doubled for a set of this size."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / SET_SIZE)), 0, LEVELS).astype(np.int64)
+
+
+def _counts(s: np.ndarray, level: int) -> np.ndarray:
+    return np.bincount((s >> np.uint64(58 - level)).astype(np.int64), minlength=GROUPS << level)
+
+
 def _star(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For linked places (i, j) of ascending ids: each id and the smallest one it reaches, where that is another."""
     label = np.arange(len(ids))
@@ -112,18 +121,37 @@ def _star(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np
     return ids[moved], ids[label[moved]]
 
 
-def _bound(counts: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+def _bound(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs may be linked: overlap <= summed minima, and it must be p / (100 + p) of both sizes."""
-    most = np.zeros((len(left), len(right)), np.int64)
-    box = np.minimum(counts[left].max(0), counts[right].max(0)).sum()
-    if box * (100 + percent) < (n[left].min() + n[right].min()) * percent:
+    most = np.zeros((len(a), len(b)), np.int64)
+    box = np.minimum(a.max(0), b.max(0)).sum()
+    if box * (100 + percent) < (na.min() + nb.min()) * percent:
         return most > 0
-    if most.size <= 4_096:  # one operation for the many small tiles
-        most = np.minimum(counts[left][:, None, :], counts[right][None, :, :]).sum(2)
-        return most * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
-    for g in range(GROUPS):
-        most += np.minimum(counts[left, g][:, None], counts[right, g][None, :])
-    return most * (100 + percent) >= (n[left][:, None] + n[right][None, :]) * percent
+    if most.size * a.shape[1] <= 1 << 18:  # one operation for the many small tiles
+        most = np.minimum(a[:, None, :], b[None, :, :]).sum(2)
+    else:
+        for g in range(a.shape[1]):
+            most += np.minimum(a[:, g][:, None], b[:, g][None, :])
+    return most * (100 + percent) >= (na[:, None] + nb[None, :]) * percent
+
+
+def _near_pairs(n: np.ndarray, counts: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one tile that pass the bound.
+
+    Sets that differ by two levels differ in size by more than a link allows; those of
+    neighbouring levels meet in the coarser one's groups.
+    """
+    level, out = _level(n), []
+    for k in np.unique(level):
+        own, under = np.flatnonzero(level == k), np.flatnonzero(level == k - 1)
+        mine = np.stack([counts[i] for i in own]).astype(np.int64)
+        i, j = np.nonzero(np.triu(_bound(mine, n[own], mine, n[own], percent), 1))
+        out.append((own[i], own[j]))
+        if len(under):
+            coarse = mine.reshape(len(own), -1, 2).sum(2)
+            i, j = np.nonzero(_bound(coarse, n[own], np.stack([counts[i] for i in under]).astype(np.int64), n[under], percent))
+            out.append((own[i], under[j]))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
 
 
 def _near(percent: int):
@@ -136,19 +164,14 @@ def _near(percent: int):
             limits = points.offsets.to_numpy()
             flat = points.flatten()
             every_id, every_n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            every = flat.field(2).flatten().to_numpy().reshape(-1, GROUPS)
+            vectors = flat.field(2)
+            edge = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+            every = vectors.flatten().to_numpy()
             limits = limits - limits[0]
             for lo, hi in zip(limits[:-1], limits[1:]):
                 order = lo + np.argsort(every_id[lo:hi], kind="stable")
-                ids, n, counts = every_id[order], every_n[order], every[order].astype(np.int64)
-                if hi - lo == 2:
-                    i, j = np.array([0]), np.array([1])
-                    if np.minimum(counts[0], counts[1]).sum() * (100 + percent) < n.sum() * percent:
-                        continue
-                else:
-                    rows = np.arange(hi - lo)
-                    i, j = np.nonzero(np.triu(_bound(counts, n, rows, rows, percent), 1))
-                x, y = _star(ids, i, j)
+                i, j = _near_pairs(every_n[order], [every[edge[k] : edge[k + 1]] for k in order], percent)
+                x, y = _star(every_id[order], i, j)
                 a.append(x), b.append(y)
             none = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays(
@@ -182,13 +205,16 @@ def _leaves(members: DataFrame) -> DataFrame:
 
     The key ends with random bits, so that equal points can be cut too and no leaf grows.
     """
-    half = F.aggregate(F.slice("counts", 1, GROUPS // 2), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    total = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    width = (F.size("counts") / GROUPS).cast("int")
+    folded = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda i: total(F.slice("counts", i * width + 1, width)))
+    half = total(F.slice("counts", F.lit(1), width * (GROUPS // 2)))
     keyed = members.withColumn(
         "key",
         F.least("n", F.lit((1 << 22) - 1)) * F.lit(1 << 40)
         + F.least(half, F.lit((1 << 22) - 1)) * F.lit(1 << 18)
         + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18)),
-    )
+    ).withColumn("counts", folded)
     size = keyed.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     wanted = F.ceil(F.greatest(F.col("rows") / LEAF_ROWS, F.col("shingles") / LEAF_SHINGLES))
     size = size.select("block", wanted.cast("int").alias("leaves")).where("leaves > 1")
@@ -235,8 +261,9 @@ def _verify(percent: int):
         same = bool(side.all())
         left = np.arange(len(ids)) if same else np.flatnonzero(side)
         right = left if same else np.flatnonzero(~side)
-        counts = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets])
-        near = _bound(counts, n, left, right, percent)
+        level = int(_level(n).min())
+        counts = np.stack([_counts(s, level) for s in sets])
+        near = _bound(counts[left], n[left], counts[right], n[right], percent)
         if same:
             near &= ~np.eye(len(left), dtype=bool)
         left, right, near = left[near.any(1)], right[near.any(0)], near[near.any(1)][:, near.any(0)]
