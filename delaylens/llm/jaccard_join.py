@@ -191,10 +191,14 @@ def _plausible(points: DataFrame, percent: int) -> DataFrame:
     buckets = first.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     shared = first.join(buckets, "h").select("h", "doc_id", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    tiled = shared.join(points.select("doc_id", "n", "counts"), "doc_id").select(
-        "h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "doc_id", "n", "counts"
+    tiled = shared.select("h", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "doc_id")
+    together = tiled.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+        F.sort_array(F.collect_set("doc_id")).alias("ids")
     )
-    met = tiled.groupBy("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
+    # Copies share many first shingles: the same points are compared once, and only then need their counts.
+    once = together.where(F.size("ids") > 1).select("ids").distinct()
+    seats = once.select(F.xxhash64("ids").alias("k1"), F.xxhash64("ids", F.lit(1)).alias("k2"), F.explode("ids").alias("doc_id"))
+    met = seats.join(points.select("doc_id", "n", "counts"), "doc_id").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("doc_id", "n", "counts")).alias("points")
     )
     return met.where(F.size("points") > 1).select("points").mapInArrow(_near(percent), "doc_id long, low long").distinct()
