@@ -17,7 +17,7 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 # Spark type -> DuckDB type of the same result column.
-TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def duck(folder: str) -> duckdb.DuckDBPyConnection:
