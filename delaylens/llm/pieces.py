@@ -22,7 +22,7 @@ from delaylens.llm.tables import table, texts
 
 MARKER = "▁"
 #: Bytes of distinct words searched at a time, and of texts encoded at a time.
-BATCH, BYTES = 1 << 20, 8 << 20
+BATCH, BYTES = 1 << 18, 4 << 20
 #: How far below the worst piece an uncovered character scores.
 PENALTY = 10.0
 RUNS = re.compile(" +[^ ]*")
