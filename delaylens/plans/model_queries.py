@@ -1,4 +1,4 @@
-"""Model jobs. Tree counts are kept small here; the full sizes are parameters."""
+"""Model jobs at the full sizes: trees, depth, iterations and horizons, over all rows."""
 
 from __future__ import annotations
 
@@ -26,7 +26,6 @@ from delaylens.session import materialize, scratch_path
 from delaylens.sources.sinks import load_model, save_model
 from delaylens.sources.tables import Tables, flights
 
-SMALL = C.Boosting(trees=8, depth=4, step=0.2, row_share=0.8)
 MODEL_COLUMNS = (
     "crs_dep_time", "month", "day_of_week", "distance", "origin", "dest", "op_unique_carrier", "arr_delay",
     "cancelled", "diverted", "late_aircraft_delay", "nas_delay",
@@ -60,7 +59,7 @@ def one_hot_features(t: Tables) -> DataFrame:
 @query()
 def logistic_delay_model(t: Tables) -> DataFrame:
     train, test = C.split(C.model_frame(_model_flights(t), "basic", KEYS))
-    model = C.fit_logistic(train, "basic", max_iter=50)
+    model = C.fit_logistic(train, "basic")
     report = E.classification_report(C.scored(model, test), C.LABEL, "pred")
     long = report.unpivot(["class"], ["precision", "recall", "f1"], "metric", "value").select(
         F.lit("logistic").alias("model"), F.lit("test").alias("split"),
@@ -72,20 +71,20 @@ def logistic_delay_model(t: Tables) -> DataFrame:
 @query()
 def boosted_delay_model(t: Tables) -> DataFrame:
     train, test = C.split(C.model_frame(_model_flights(t), "basic", KEYS))
-    return C.evaluate(C.fit_boosted(train, "basic", SMALL, weighted=False), test, "boosted")
+    return C.evaluate(C.fit_boosted(train, "basic", C.FULL_SIZE["basic"], weighted=False), test, "boosted")
 
 
 @query()
 def feature_set_comparison(t: Tables) -> DataFrame:
     """Leaky against clean features: the leaky set must look better than it is."""
-    return C.compare(_model_flights(t), SMALL, KEYS)
+    return C.compare(_model_flights(t), C.FULL_SIZE, KEYS)
 
 
 @query(with_views(FLIGHTS, "SELECT origin, count(*) AS flights, 0::BIGINT AS changed FROM flights GROUP BY origin"))
 def saved_model_scores(t: Tables) -> DataFrame:
     """A model saved and loaded again scores the same; rows with a different score per origin."""
     rows = C.model_frame(_model_flights(t), "basic", KEYS)
-    model = C.fit_logistic(rows, "basic", max_iter=10)
+    model = C.fit_logistic(rows, "basic")
     path = scratch_path(t.spark, "model")
     save_model(model, path)
     first = M.with_probability(model.transform(rows), "before").select(*rows.columns, "before")
@@ -100,7 +99,7 @@ def saved_model_scores(t: Tables) -> DataFrame:
 
 def _detected(t: Tables, *columns: str) -> DataFrame:
     f = flights(t, *dict.fromkeys((*I.FEATURES, "cancelled", "diverted", "month", *KEYS, *columns)))
-    return I.detect(f, keys=[*KEYS, *I.FEATURES[:1]], trees=100)
+    return I.detect(f, keys=[*KEYS, *I.FEATURES[:1]])
 
 
 @query()
@@ -124,7 +123,7 @@ def delay_model_without_anomalies(t: Tables) -> DataFrame:
     """The clean classifier trained on flights that the forest did not flag."""
     kept = X.drop_anomalies(_detected(t, *MODEL_COLUMNS))
     train, test = C.split(C.model_frame(kept, "predeparture", KEYS))
-    return C.evaluate(C.fit_boosted(train, "predeparture", SMALL), test, "without anomalies")
+    return C.evaluate(C.fit_boosted(train, "predeparture", C.FULL_SIZE["predeparture"]), test, "without anomalies")
 
 
 # --- daily forecasts -------------------------------------------------------------------------------
@@ -136,38 +135,38 @@ def _daily(t: Tables, *series: str) -> DataFrame:
 
 @query()
 def daily_rolling_model(t: Tables) -> DataFrame:
-    model, tested = D.train_and_test(A.add_rolling(_daily(t)), D.ROLLING, trees=20, depth=8)
+    model, tested = D.train_and_test(A.add_rolling(_daily(t)), D.ROLLING)
     return D.evaluate(tested, "daily rolling")
 
 
 @query()
 def daily_lag_model(t: Tables) -> DataFrame:
-    model, tested = D.train_and_test(A.add_lags(_daily(t)), D.LAGS, trees=20, depth=8)
+    model, tested = D.train_and_test(A.add_lags(_daily(t)), D.LAGS)
     return D.evaluate(tested, "daily lag")
 
 
 @query()
 def daily_feature_importance(t: Tables) -> DataFrame:
-    model, _ = D.train_and_test(A.add_rolling(_daily(t)), D.ROLLING, trees=20, depth=8)
+    model, _ = D.train_and_test(A.add_rolling(_daily(t)), D.ROLLING)
     return M.importances(t.spark, model, D.ROLLING)
 
 
 @query()
 def carrier_rolling_forecast(t: Tables) -> DataFrame:
-    """Thirty days ahead for every carrier, predictions fed back into the window."""
+    """120 days ahead for every carrier, predictions fed back into the window."""
     daily = _daily(t, "op_unique_carrier")
     rows = A.add_rolling(daily, "op_unique_carrier")
-    model = D.fit(rows, D.ROLLING, trees=10, depth=6)
-    return D.forecast(model, rows, 30, "op_unique_carrier")
+    model = D.fit(rows, D.ROLLING)
+    return D.forecast(model, rows, 120, "op_unique_carrier")
 
 
 @query()
 def carrier_lag_scenarios(t: Tables) -> DataFrame:
-    """Ten days ahead for every carrier under random inputs."""
+    """Thirty days ahead for every carrier under random inputs."""
     daily = _daily(t, "op_unique_carrier")
     rows = A.add_lags(daily, "op_unique_carrier")
-    model = D.fit(rows, D.LAGS, trees=10, depth=6)
-    return D.forecast_scenarios(model, rows, 10, "op_unique_carrier", scenarios=20)
+    model = D.fit(rows, D.LAGS)
+    return D.forecast_scenarios(model, rows, 30, "op_unique_carrier", scenarios=20)
 
 
 # --- road segments ----------------------------------------------------------------------------------
@@ -177,8 +176,8 @@ def carrier_lag_scenarios(t: Tables) -> DataFrame:
 def segment_models(t: Tables) -> DataFrame:
     """Mean and 90 % models with train and test metrics and the worst segments."""
     train, test = (materialize(p) for p in V.model_frames(readings(t), CUTOFF))
-    mean = G.fit_mean(train, trees=8, depth=4)
-    high = G.fit_quantile(train, trees=10, depth=5)
+    mean = G.fit_mean(train)
+    high = G.fit_quantile(train, trees=400)
     scored = {n: materialize(G.predict(p, mean, high)) for n, p in (("train", train), ("test", test))}
     worst = V.segment_errors(scored["test"]).unpivot(
         ["resultId"], ["mae", "rmse", "coverage_p90"], "metric", "value"
@@ -192,9 +191,6 @@ def segment_models(t: Tables) -> DataFrame:
 # --- follow-on delays ---------------------------------------------------------------------------------
 
 
-SMALL_TREES = P.Size(trees=8, depth=4, step=0.1)
-
-
 def _ripple_rows(t: Tables) -> DataFrame:
     return P.split(R.incident_dataset(found(t)))
 
@@ -205,8 +201,8 @@ def ripple_model_metrics(t: Tables) -> DataFrame:
     rows = _ripple_rows(t)
     scored = rows
     for label, name in (("ripple_label", "ripple_p"), ("severe_label", "severe_p")):
-        scored = P.add_probability(scored, P.fit_classifier(rows, label, SMALL_TREES), name)
-    scored = materialize(P.add_amount(scored, P.fit_positive(rows, SMALL_TREES)))
+        scored = P.add_probability(scored, P.fit_classifier(rows, label, P.CLASSIFIER), name)
+    scored = materialize(P.add_amount(scored, P.fit_positive(rows, P.REGRESSOR)))
     ripple, edge = P.classifier_metrics(scored, "ripple_label", "ripple_p", "ripple_classifier")
     severe, _ = P.classifier_metrics(scored, "severe_label", "severe_p", "severe_classifier")
     both = P.blend(scored, "ripple_p", "amount", edge)
@@ -226,8 +222,8 @@ def ripple_feature_importance(t: Tables) -> DataFrame:
     """Split importance of the ripple classifier, permutation effect on the regressor."""
     rows = _ripple_rows(t)
     names = [*[f"{c}_mean" for c in P.CATEGORIES], *P.NUMBERS]
-    split = M.importances(t.spark, P.fit_classifier(rows, "ripple_label", SMALL_TREES), names)
-    permuted = P.permutation_importance(rows.filter(F.col("is_train") == 0), P.fit_positive(rows, SMALL_TREES))
+    split = M.importances(t.spark, P.fit_classifier(rows, "ripple_label", P.CLASSIFIER), names)
+    permuted = P.permutation_importance(rows.filter(F.col("is_train") == 0), P.fit_positive(rows, P.REGRESSOR))
     return (
         split.select(F.lit("ripple_classifier").alias("model"), "feature", "importance")
         .unionByName(
