@@ -237,7 +237,7 @@ def top_delay_origins(t: Tables) -> DataFrame:
 ) + """ FROM flights WHERE origin IN (
   SELECT origin FROM flights GROUP BY origin ORDER BY count(*) DESC, origin LIMIT 20) GROUP BY origin"""))
 def origin_month_matrix(t: Tables) -> DataFrame:
-    return A.origin_month_matrix(flights(t, "origin", "month", "arr_delay"), k=20)
+    return A.origin_month_matrix(flights(t, "origin", "month", "arr_delay"), k=25)
 
 
 @query(sql("SELECT CAST(month AS BIGINT) AS month, count(*) AS flight_count FROM flights GROUP BY 1"))
@@ -271,7 +271,7 @@ WHERE origin IN (SELECT origin FROM r GROUP BY origin ORDER BY sum(flights) DESC
   AND dest IN (SELECT dest FROM r GROUP BY dest ORDER BY sum(flights) DESC, dest LIMIT 15)"""))
 def top_airport_route_delay(t: Tables) -> DataFrame:
     busy = A.route_delay(flights(t, "origin", "dest", "arr_delay", "distance", "air_time"), 100)
-    return A.within_top_airports(busy, "flights", 15)
+    return A.within_top_airports(busy, "flights", 20)
 
 
 @query(sql("""
@@ -414,7 +414,7 @@ SELECT airport, departures, arrivals, departures + arrivals AS total_activity FR
   FULL JOIN (SELECT dest, count(*) AS n FROM flights GROUP BY 1) d ON o.origin = d.dest)
 ORDER BY total_activity DESC, airport LIMIT 20"""))
 def airport_activity(t: Tables) -> DataFrame:
-    return A.airport_activity(flights(t, "origin", "dest"), k=20)
+    return A.airport_activity(flights(t, "origin", "dest"), k=25)
 
 
 @query(sql("""

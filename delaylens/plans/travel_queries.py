@@ -91,7 +91,7 @@ SELECT 'worst' AS list, {SEGMENT_OUT} FROM (SELECT * FROM stats ORDER BY p90_tim
 UNION ALL
 SELECT 'best', {SEGMENT_OUT} FROM (SELECT * FROM stats ORDER BY mean_time, resultId LIMIT 10)"""))
 def segment_worst_best(t: Tables) -> DataFrame:
-    return V.worst_and_best(materialize(_segments(t)), k=10)
+    return V.worst_and_best(materialize(_segments(t)), k=15)
 
 
 @query(sql(f"""{SEGMENTS}
@@ -118,7 +118,7 @@ SELECT CAST(hour AS BIGINT) AS peak_hour, round(m, 6) AS peak_median,
 FROM h ORDER BY m DESC, hour LIMIT 1"""))
 def travel_peaks(t: Tables) -> DataFrame:
     r = readings(t)
-    worst = V.worst_and_best(materialize(_segments(t)), k=10).filter(F.col("list") == "worst")
+    worst = V.worst_and_best(materialize(_segments(t)), k=15).filter(F.col("list") == "worst")
     return V.peaks(V.hourly(r), r.select("month").distinct(), worst)
 
 
