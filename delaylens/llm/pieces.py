@@ -2,7 +2,8 @@
 
 Text is encoded as in the public piece files: one space is put in front, spaces are the
 white-space marker, and the best-scoring sequence of pieces is chosen; a character that no piece
-covers becomes its UTF-8 bytes. A piece holds markers only at its start, so words are
+covers becomes its UTF-8 bytes. The public file's scores are merge ranks, which can't be summed:
+log scores are learned from the word counts of all texts first. A piece holds markers only at its start, so words are
 independent: distinct words are searched once, all together, position by position.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaylens.llm.tables import table, texts
+from delaylens.llm.tables import stored, table, texts
 
 MARKER = "▁"
 #: Bytes of distinct words searched at a time, and of texts encoded at a time.
@@ -26,6 +27,8 @@ BATCH, BYTES = 1 << 18, 4 << 20
 #: How far below the worst piece an uncovered character scores.
 PENALTY = 10.0
 RUNS = re.compile(" +[^ ]*")
+#: Passes over the distinct words after the first one, which counts pieces wherever they match.
+ROUNDS = 3
 
 
 def piece_model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -201,8 +204,8 @@ def encode_words(model: Pieces, words: list[bytes]) -> tuple[np.ndarray, np.ndar
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def encode(model: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids in a row and the number per text; an empty text has none."""
+def _words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, those of texts without runs of spaces first; which texts have runs, which have text, and the words per text."""
     column = column.cast(pa.large_string())
     runs = pc.match_substring_regex(column, "^ |  ").to_numpy(zero_copy_only=False)
     full = pc.greater(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -210,10 +213,16 @@ def encode(model: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     odd = [RUNS.findall(" " + t) for t in column.filter(pa.array(full & runs)).to_pylist()]
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.list_flatten(plain), pa.scalar("", pa.large_string()))
     every = pa.concat_arrays([spaced, pa.array([w for t in odd for w in t], pa.large_string())]).dictionary_encode()
-    flat, length = encode_words(model, [w.encode() for w in every.dictionary.to_pylist()])
     words = np.zeros(len(column), np.int64)
     words[full & ~runs] = pc.list_value_length(plain).to_numpy(zero_copy_only=False)
     words[full & runs] = [len(t) for t in odd]
+    return every, runs, full, words
+
+
+def encode(model: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row and the number per text; an empty text has none."""
+    every, runs, full, words = _words(column)
+    flat, length = encode_words(model, [w.encode() for w in every.dictionary.to_pylist()])
     # Words lie texts without runs first; bring them into the order of the texts.
     begin = np.zeros(len(column), np.int64)
     for some in (full & ~runs, full & runs):
@@ -296,9 +305,89 @@ def decode_documents(coded: DataFrame, model: Pieces) -> DataFrame:
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string, n_pieces long, n_bytes long, ids_crc32 long")
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Each distinct word of all texts, as bytes with its leading space, and how often it occurs."""
+
+    def run(batches):
+        for batch in batches:
+            for _, some in _groups(batch.column(1)):
+                every = _words(some)[0]
+                n = np.bincount(every.indices.to_numpy(zero_copy_only=False), minlength=len(every.dictionary))
+                words = every.dictionary.cast(pa.large_binary()).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    return texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _piece_counts(counted: DataFrame, model: Pieces, anywhere: bool) -> np.ndarray:
+    """How often each piece matches in the words (``anywhere``) or is chosen by the search; one row per piece and task."""
+
+    def run(batches):
+        total = np.zeros(len(model.score), np.int64)
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            at, sizes = 0, np.cumsum([0] + [len(w) for w in words])
+            while at < len(words):
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH, "right")) - 1)
+                if anywhere:
+                    some = np.frombuffer(b"".join(words[at:to]), np.uint8)
+                    edge = np.cumsum([len(w) for w in words[at:to]])
+                    word = np.repeat(np.arange(to - at), np.diff(edge, prepend=0))
+                    ids, who = _matches(model, some, edge[word], word)
+                else:
+                    ids, length = _search(model, words[at:to])
+                    who = np.repeat(np.arange(to - at), length)
+                np.add.at(total, ids, n[at:to][who])
+                at = to
+        kept = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], names=["piece", "n"])
+
+    rows = counted.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(model.score))
+    for r in rows:  # at most one row per piece
+        out[r.piece] = r.n
+    return out
+
+
+def _matches(model: Pieces, data: np.ndarray, far: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every piece that matches anywhere inside a word, and its word."""
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    state, depth, found = np.zeros(len(begin), np.int64), 0, []
+    while len(begin):
+        on = begin + depth < far[begin]
+        begin, state = begin[on], state[on]
+        to = model.base[state] + data[begin + depth].astype(np.int64)
+        ok = model.check[to] == state
+        begin, state, depth = begin[ok], to[ok].astype(np.int64), depth + 1
+        hit = model.value[state] >= 0
+        found.append((model.value[state[hit]].astype(np.int64), word[begin[hit]]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _log_scores(model: Pieces, n: np.ndarray) -> Pieces:
+    """Log shares of the counts; every piece counts as half an occurrence more, so that none is ruled out."""
+    share = np.log((n + 0.5) / (n.sum() + 0.5 * len(n)))
+    return replace(model, score=share, unknown_score=float(share.min()) - PENALTY)
+
+
+def learned(docs: DataFrame, model: Pieces, rounds: int = ROUNDS) -> Pieces:
+    """The same pieces with log scores learned from every word of every text.
+
+    The first scores are the shares of all matches of a piece; each round then counts the pieces
+    that the search chooses and takes their shares. Words are counted once and kept as a Spark
+    table; only one number per piece reaches the driver. An empty table leaves all scores equal.
+    """
+    counted = stored(word_counts(docs), "word-counts")
+    model = _log_scores(model, _piece_counts(counted, model, anywhere=True))
+    for _ in range(rounds):
+        model = _log_scores(model, _piece_counts(counted, model, anywhere=False))
+    return model
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = load(piece_model_path())
-    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), model), model)
+    docs = table(spark, sf_dir, "documents")
+    model = learned(docs, load(piece_model_path()))
+    decoded = decode_documents(encode_documents(docs, model), model)
     return decoded.select("doc_id", "n_pieces", "n_bytes", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
