@@ -44,9 +44,11 @@ def exact_dedup(
 
 
 def distinct_documents(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The documents whose row stays, with all columns."""
-    ids = exact_dedup(docs, keep).where("kept").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    """The documents whose row stays, with all columns, a null doc_id included if its group has no other."""
+    ids = exact_dedup(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(ids["_id"]) & (F.sha2(text, 256) == ids["_sha"])
+    return docs.join(ids, same, "left_semi").select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
