@@ -90,14 +90,15 @@ def _winner(sizes: np.ndarray) -> tuple[np.ndarray, float]:
     return order, 1 - sizes[order[0]] / sizes[order[1]] if len(sizes) > 1 else 1.0
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, rejected.
 
     Score is the share of the runner-up's size that the winner saves, scaled to 0..1. A text that
     is null or has no letter is ``und`` with score 0 and rejected, and so is every text if
     nothing was learned; with one language all others win it with score 1. Ties go to the
     language with more labelled documents. Whole texts are read, of any length. Repeated rows each give a row; an
-    empty table gives an empty result.
+    empty table gives an empty result. ``digest`` adds the text's hash, text_sha256, by which rows
+    with a null or repeated doc_id are told apart.
     """
     names = list(dictionaries)
 
@@ -127,12 +128,19 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                     order, saved = _winner(np.array([_bits(raw, c) for c in counts]))
                 best.append(names[order[0]]), score.append(float(saved)), out.append(bool(saved < margin))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(best), pa.array(score, pa.float64()), pa.array(out)],
-                names=["doc_id", "lang_pred", "score", "rejected"],
+                [batch.column(0), pa.array(best), pa.array(score, pa.float64()), pa.array(out), *batch.columns[2:]],
+                names=["doc_id", "lang_pred", "score", "rejected", *batch.schema.names[2:]],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    if digest:
+        rows = rows.withColumn("text_sha256", _digest(F.col("text")))
+    kinds = "doc_id long, lang_pred string, score double, rejected boolean"
+    return rows.mapInArrow(run, kinds + (", text_sha256 string" if digest else ""))
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -146,9 +154,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all columns."""
-    kept = identify(docs).where("NOT rejected").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that are not rejected, with all columns; a null doc_id is judged like any other."""
+    judged = classify(docs, train(docs.where(~held_out(F.col("doc_id")))), digest=True).where("NOT rejected")
+    kept = judged.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    same = docs["doc_id"].cast("bigint").eqNullSafe(kept["_id"]) & (_digest(docs["text"]) == kept["_sha"])
+    return docs.join(kept, same, "left_semi").select(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
