@@ -67,7 +67,10 @@ def importances(
 ) -> DataFrame:
     """Feature importances, highest first; one row per feature."""
     vector = model.stages[stage].featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(names, vector)]
+    return ranked_importances(spark, [(n, float(v)) for n, v in zip(names, vector)])
+
+
+def ranked_importances(spark: SparkSession, rows: Sequence[tuple[str, float]]) -> DataFrame:
     ranked = spark.createDataFrame(rows, "feature string, importance double")
     return ranked.orderBy(F.desc("importance"), "feature")
 

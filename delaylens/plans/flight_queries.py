@@ -235,7 +235,7 @@ def top_delay_origins(t: Tables) -> DataFrame:
 @query(sql("SELECT origin, " + ", ".join(
     f"round(avg(arr_delay) FILTER (WHERE month = {m}), 6) AS m{m:02d}" for m in range(1, 13)
 ) + """ FROM flights WHERE origin IN (
-  SELECT origin FROM flights GROUP BY origin ORDER BY count(*) DESC, origin LIMIT 20) GROUP BY origin"""))
+  SELECT origin FROM flights GROUP BY origin ORDER BY count(*) DESC, origin LIMIT 25) GROUP BY origin"""))
 def origin_month_matrix(t: Tables) -> DataFrame:
     return A.origin_month_matrix(flights(t, "origin", "month", "arr_delay"), k=25)
 
@@ -267,8 +267,8 @@ def route_delay_rate(t: Tables) -> DataFrame:
 @query(sql(f"""
 , r AS (SELECT * FROM ({ROUTE_RATE}) WHERE flights >= 100)
 SELECT * FROM r
-WHERE origin IN (SELECT origin FROM r GROUP BY origin ORDER BY sum(flights) DESC, origin LIMIT 15)
-  AND dest IN (SELECT dest FROM r GROUP BY dest ORDER BY sum(flights) DESC, dest LIMIT 15)"""))
+WHERE origin IN (SELECT origin FROM r GROUP BY origin ORDER BY sum(flights) DESC, origin LIMIT 20)
+  AND dest IN (SELECT dest FROM r GROUP BY dest ORDER BY sum(flights) DESC, dest LIMIT 20)"""))
 def top_airport_route_delay(t: Tables) -> DataFrame:
     busy = A.route_delay(flights(t, "origin", "dest", "arr_delay", "distance", "air_time"), 100)
     return A.within_top_airports(busy, "flights", 20)
@@ -399,12 +399,14 @@ def busiest_routes(t: Tables) -> DataFrame:
 k AS (SELECT * FROM r
   WHERE origin IN (SELECT origin FROM r GROUP BY origin ORDER BY sum(n) DESC, origin LIMIT 20)
     AND dest IN (SELECT dest FROM r GROUP BY dest ORDER BY sum(n) DESC, dest LIMIT 20))
-SELECT * FROM (PIVOT (SELECT o.origin, d.dest, coalesce(k.n, 0) AS n
-  FROM (SELECT DISTINCT origin FROM k) o CROSS JOIN (SELECT DISTINCT dest FROM k) d
-  LEFT JOIN k ON k.origin = o.origin AND k.dest = d.dest) ON dest USING max(n) GROUP BY origin)"""))
+SELECT o.origin, d.dest, coalesce(k.n, 0) AS flight_count
+FROM (SELECT DISTINCT origin FROM k) o CROSS JOIN (SELECT DISTINCT dest FROM k) d
+LEFT JOIN k ON k.origin = o.origin AND k.dest = d.dest"""))
 def route_volume_matrix(t: Tables) -> DataFrame:
-    kept = A.route_volume(flights(t, "origin", "dest"))
-    return A.matrix(materialize(kept), "flight_count", fill=0)
+    """The zero-filled matrix, its columns listed as rows so that they can be named beforehand."""
+    wide = A.matrix(materialize(A.route_volume(flights(t, "origin", "dest"))), "flight_count", fill=0)
+    cells = [c for c in wide.columns if c != "origin"]
+    return wide.unpivot("origin", cells, "dest", "flight_count") if cells else wide.selectExpr("origin", "origin AS dest", "0L AS flight_count")
 
 
 @query(sql("""
@@ -412,7 +414,7 @@ SELECT airport, departures, arrivals, departures + arrivals AS total_activity FR
   SELECT coalesce(o.origin, d.dest) AS airport, coalesce(o.n, 0) AS departures, coalesce(d.n, 0) AS arrivals
   FROM (SELECT origin, count(*) AS n FROM flights GROUP BY 1) o
   FULL JOIN (SELECT dest, count(*) AS n FROM flights GROUP BY 1) d ON o.origin = d.dest)
-ORDER BY total_activity DESC, airport LIMIT 20"""))
+ORDER BY total_activity DESC, airport LIMIT 25"""))
 def airport_activity(t: Tables) -> DataFrame:
     return A.airport_activity(flights(t, "origin", "dest"), k=25)
 

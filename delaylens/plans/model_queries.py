@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.functions import features as X
@@ -14,6 +16,7 @@ from delaylens.ml import forecast as D
 from delaylens.ml import isolation as I
 from delaylens.ml import ripple_models as P
 from delaylens.ml import segments as G
+from delaylens.ml.forest import Forest
 from delaylens.operators import evaluate as E
 from delaylens.operators import flights as A
 from delaylens.operators import ripple as R
@@ -26,6 +29,7 @@ from delaylens.session import materialize, scratch_path
 from delaylens.sources.sinks import load_model, save_model
 from delaylens.sources.tables import Tables, flights
 
+CARRIER = "op_unique_carrier"
 MODEL_COLUMNS = (
     "crs_dep_time", "month", "day_of_week", "distance", "origin", "dest", "op_unique_carrier", "arr_delay",
     "cancelled", "diverted", "late_aircraft_delay", "nas_delay",
@@ -148,25 +152,96 @@ def daily_lag_model(t: Tables) -> DataFrame:
 @query()
 def daily_feature_importance(t: Tables) -> DataFrame:
     model, _ = D.train_and_test(A.add_rolling(_daily(t)), D.ROLLING)
-    return M.importances(t.spark, model, D.ROLLING)
+    return M.ranked_importances(t.spark, model.importances())
+
+
+@lru_cache(maxsize=16)
+def _forecaster(session: str, t: Tables, kind: str, *series: str) -> tuple[DataFrame, Forest]:
+    """The daily rows of each series and the forest over all of them, grown once per session and folder."""
+    add, features = {"rolling": (A.add_rolling, D.ROLLING), "lags": (A.add_lags, D.LAGS)}[kind]
+    rows = materialize(add(_daily(t, *series), *series))
+    return rows, D.fit(rows, features, series=series)
+
+
+def _forecast(t: Tables, kind: str, *series: str) -> DataFrame:
+    rows, forest = _forecaster(t.spark.sparkContext.applicationId, t, kind, *series)
+    if kind == "rolling":
+        return D.forecast(forest, rows, 120, *series)
+    return D.forecast_scenarios(forest, rows, 30, *series, scenarios=20)
 
 
 @query()
 def carrier_rolling_forecast(t: Tables) -> DataFrame:
     """120 days ahead for every carrier, predictions fed back into the window."""
-    daily = _daily(t, "op_unique_carrier")
-    rows = A.add_rolling(daily, "op_unique_carrier")
-    model = D.fit(rows, D.ROLLING)
-    return D.forecast(model, rows, 120, "op_unique_carrier")
+    return _forecast(t, "rolling", CARRIER)
 
 
 @query()
 def carrier_lag_scenarios(t: Tables) -> DataFrame:
     """Thirty days ahead for every carrier under random inputs."""
-    daily = _daily(t, "op_unique_carrier")
-    rows = A.add_lags(daily, "op_unique_carrier")
-    model = D.fit(rows, D.LAGS)
-    return D.forecast_scenarios(model, rows, 30, "op_unique_carrier", scenarios=20)
+    return _forecast(t, "lags", CARRIER)
+
+
+@query()
+def overall_rolling_forecast(t: Tables) -> DataFrame:
+    """120 days ahead for all flights as one series."""
+    return _forecast(t, "rolling")
+
+
+@query()
+def overall_lag_scenarios(t: Tables) -> DataFrame:
+    """Thirty days ahead for all flights as one series under random inputs."""
+    return _forecast(t, "lags")
+
+
+def _ahead_sql(days: int, per_carrier: bool, bounds: str) -> str:
+    """Each series' days after its last one, and that its figures stay inside those it learned from."""
+    series = "op_unique_carrier, " if per_carrier else ""
+    return with_views(FLIGHTS, f"""
+, daily AS (
+    SELECT {series}fl_date, avg(arr_delay) AS mean_delay FROM flights
+    WHERE arr_delay IS NOT NULL AND fl_date IS NOT NULL {"AND op_unique_carrier IS NOT NULL" if per_carrier else ""} GROUP BY ALL),
+lasts AS (SELECT {series}max(fl_date) AS last_date FROM daily {"GROUP BY op_unique_carrier" if per_carrier else ""})
+SELECT {series}strftime(last_date + CAST(i AS INTEGER), '%Y-%m-%d') AS fl_date, {bounds}
+FROM lasts, range(1, {days + 1}) AS ahead(i)""")
+
+
+def _inside(t: Tables, kind: str, column: str, *series: str) -> Column:
+    """Whether a prediction, a mean of training means, lies between the least and the largest of them."""
+    rows, _ = _forecaster(t.spark.sparkContext.applicationId, t, kind, *series)
+    low, high = rows.agg(F.min(D.TARGET), F.max(D.TARGET)).first()
+    return F.col(column).between(F.lit(low - 1e-9), F.lit(high + 1e-9)).cast("bigint")
+
+
+@query(_ahead_sql(120, True, "1::BIGINT AS inside"))
+def carrier_rolling_forecast_days(t: Tables) -> DataFrame:
+    """Rows, dates and bounds of ``carrier_rolling_forecast``."""
+    day = F.date_format("fl_date", "yyyy-MM-dd").alias("fl_date")
+    return _forecast(t, "rolling", CARRIER).select(CARRIER, day, _inside(t, "rolling", "prediction", CARRIER).alias("inside"))
+
+
+@query(_ahead_sql(120, False, "1::BIGINT AS inside"))
+def overall_rolling_forecast_days(t: Tables) -> DataFrame:
+    """Rows, dates and bounds of ``overall_rolling_forecast``."""
+    day = F.date_format("fl_date", "yyyy-MM-dd").alias("fl_date")
+    return _forecast(t, "rolling").select(day, _inside(t, "rolling", "prediction").alias("inside"))
+
+
+@query(_ahead_sql(30, True, "1::BIGINT AS inside, 1::BIGINT AS ordered"))
+def carrier_lag_scenarios_days(t: Tables) -> DataFrame:
+    """Rows, dates, bounds and order of the quantiles of ``carrier_lag_scenarios``."""
+    least = _inside(t, "lags", "p10", CARRIER) * _inside(t, "lags", "p90", CARRIER) * _inside(t, "lags", "mean", CARRIER)
+    ordered = (F.col("p10") <= F.col("p50")) & (F.col("p50") <= F.col("p90"))
+    return _forecast(t, "lags", CARRIER).select(
+        CARRIER, F.date_format("fl_date", "yyyy-MM-dd").alias("fl_date"), least.alias("inside"), ordered.cast("bigint").alias("ordered")
+    )
+
+
+@query()
+def lag_feature_importance(t: Tables) -> DataFrame:
+    """Importances of the forest on lags, over all flights as one series."""
+    _, forest = _forecaster(t.spark.sparkContext.applicationId, t, "lags")
+    return M.ranked_importances(t.spark, forest.importances())
 
 
 # --- road segments ----------------------------------------------------------------------------------

@@ -87,9 +87,9 @@ def segment_stats(t: Tables) -> DataFrame:
 
 
 @query(sql(f"""{SEGMENTS}
-SELECT 'worst' AS list, {SEGMENT_OUT} FROM (SELECT * FROM stats ORDER BY p90_time DESC, resultId LIMIT 10)
+SELECT 'worst' AS list, {SEGMENT_OUT} FROM (SELECT * FROM stats ORDER BY p90_time DESC, resultId LIMIT 15)
 UNION ALL
-SELECT 'best', {SEGMENT_OUT} FROM (SELECT * FROM stats ORDER BY mean_time, resultId LIMIT 10)"""))
+SELECT 'best', {SEGMENT_OUT} FROM (SELECT * FROM stats ORDER BY mean_time, resultId LIMIT 15)"""))
 def segment_worst_best(t: Tables) -> DataFrame:
     return V.worst_and_best(materialize(_segments(t)), k=15)
 
@@ -114,7 +114,7 @@ def weekday_weekend_mean(t: Tables) -> DataFrame:
 , h AS (SELECT hour, quantile_cont(timeInSeconds, 0.5) AS m FROM travel GROUP BY 1)
 SELECT CAST(hour AS BIGINT) AS peak_hour, round(m, 6) AS peak_median,
   (SELECT max(month) FROM travel) AS recent_month,
-  (SELECT round(min(p90_time), 6) FROM (SELECT p90_time FROM stats ORDER BY p90_time DESC LIMIT 10)) AS long_tail
+  (SELECT round(min(p90_time), 6) FROM (SELECT p90_time FROM stats ORDER BY p90_time DESC LIMIT 15)) AS long_tail
 FROM h ORDER BY m DESC, hour LIMIT 1"""))
 def travel_peaks(t: Tables) -> DataFrame:
     r = readings(t)

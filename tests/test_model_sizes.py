@@ -21,6 +21,8 @@ WANTED = {
     "delay_model_without_anomalies": [(I, "detect", {"trees": 200}), (C, "fit_boosted", {"params": C.FULL_SIZE["predeparture"]})],
     "daily_rolling_model": [(D, "train_and_test", {"trees": 300, "depth": 30})],
     "daily_lag_model": [(D, "train_and_test", {"trees": 300, "depth": 30})],
+    "lag_feature_importance": [(D, "fit", {"trees": 300, "depth": 30})],
+    "overall_rolling_forecast": [(D, "fit", {"trees": 300, "depth": 30}), (D, "forecast", {"horizon": 120})],
     "daily_feature_importance": [(D, "train_and_test", {"trees": 300, "depth": 30})],
     "carrier_rolling_forecast": [(D, "fit", {"trees": 300, "depth": 30}), (D, "forecast", {"horizon": 120})],
     "carrier_lag_scenarios": [(D, "fit", {"trees": 300, "depth": 30}), (D, "forecast_scenarios", {"horizon": 30})],

@@ -80,7 +80,7 @@ def test_recursive_forecast(spark):
 
     rows = A.add_rolling(_daily(spark, [1, 2]), "s")
     model = D.fit(rows, D.ROLLING, trees=5, depth=5)
-    out = D.forecast(model, rows, 9, "s", cut_every=4)
+    out = D.forecast(model, rows, 9, "s")
     per = {r.s: (r.n, r.lo, r.hi) for r in out.groupBy("s").agg(
         F.count("*").alias("n"), F.min("fl_date").alias("lo"), F.max("fl_date").alias("hi")).collect()}
     first = dt.date(2024, 1, 1) + dt.timedelta(days=80)
@@ -147,3 +147,64 @@ def test_forest_runs_on_workers_without_the_package(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def _noise(spark, n=3000):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), float(3 * (a > 0.4) + 2 * (a > 0.7) + rng.normal(0, 0.05))) for i, (a, b) in enumerate(rng.random((n, 2)))]
+    return spark.createDataFrame(rows, "id int, a double, b double, y double")
+
+
+def test_forest_finds_the_steps_and_repeats(spark):
+    from delaylens.ml.forest import fit_forest
+
+    df = _noise(spark)
+    forest = fit_forest(df, ["a", "b"], "y", ["id"], trees=12, depth=6, min_leaf=20)
+    out = forest.transform(df)
+    assert out.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.06
+    assert dict(forest.importances())["a"] > 0.95 and sum(g for _, g in forest.importances()) == pytest.approx(1)
+    again = fit_forest(df.repartition(5), ["a", "b"], "y", ["id"], trees=12, depth=6, min_leaf=20)
+    x = np.random.default_rng(3).random((50, 2))
+    assert np.array_equal(forest.predict(x), again.predict(x))
+
+
+def test_tree_like_exhaustive_search():
+    from delaylens.ml.forest import grow, pack
+
+    rng = np.random.default_rng(4)
+    x, y, w = rng.integers(0, 6, (40, 3)).astype(float), rng.normal(size=40), rng.integers(1, 4, 40).astype(float)
+    edges = [np.unique(x[:, f]) for f in range(3)]
+    import pandas as pd
+
+    def error(mask):
+        return (w[mask] * (y[mask] - np.average(y[mask], weights=w[mask])) ** 2).sum()
+
+    stump = grow(x, y, w, edges, 1, 3)
+    options = [
+        (error(x[:, f] <= c) + error(x[:, f] > c), f, c) for f in range(3) for c in edges[f]
+        if w[x[:, f] <= c].sum() >= 3 and w[x[:, f] > c].sum() >= 3
+    ]
+    assert (stump["feature"][0], stump["threshold"][0]) == min(options)[1:]
+    full = pack(("a", "b", "c"), pd.DataFrame([{"tree": 0, **grow(x, y, w, edges, None, 1)}]))
+    same = [np.average(y[(x == row).all(1)], weights=w[(x == row).all(1)]) for row in x]
+    assert full.predict(x) == pytest.approx(same)
+
+
+def test_forest_with_nulls_few_rows_and_none(spark):
+    from delaylens.ml.forest import fit_forest
+
+    df = spark.createDataFrame([(1.0, None, 5.0), (1.0, 2.0, 7.0), (3.0, 2.0, None)], "a double, b double, y double")
+    forest = fit_forest(df, ["a", "b"], "y", trees=4)
+    assert {r.prediction for r in forest.transform(df).collect()} == {7.0}
+    nothing = fit_forest(df.where("false"), ["a", "b"], "y", trees=4)
+    assert nothing.predict(np.zeros((2, 2))).tolist() == [0.0, 0.0]
+
+
+def test_bounded_draws_and_size_check(spark, monkeypatch):
+    from delaylens.ml import forest as T
+
+    forest = T.fit_forest(_noise(spark), ["a", "b"], "y", ["id"], trees=5, rows_per_tree=100)
+    assert len(forest.feature) < 5 * 2 * 140
+    monkeypatch.setattr(T, "MOST_BYTES", 100)
+    with pytest.raises(ValueError):
+        T.fit_forest(_noise(spark), ["a", "b"], "y", ["id"], trees=5, rows_per_tree=100)
