@@ -1,19 +1,13 @@
-"""Segment travel time models: boosted mean, and a 90 % quantile from forest leaves."""
+"""Segment travel time models: a boosted mean and a boosted 90 % quantile."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from delaylens.ml.boosting import Boosted, fit_boosted
 from delaylens.ml.common import long_metrics
 from delaylens.operators import evaluate as E
-from delaylens.operators.ordered import quantiles
 from delaylens.operators.travel_time import VALUE
-from delaylens.session import materialize, shared_dir
 
 FEATURES = (
     "result_code", "hour", "dow_code", "month_code", "log_count", "year",
@@ -21,61 +15,19 @@ FEATURES = (
 )
 
 
-def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-
-
-def fit_mean(train: DataFrame, trees: int = 300, depth: int = 8, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    shared_dir(train.sparkSession)
-    model = GBTRegressor(
-        labelCol=VALUE, predictionCol="pred_mean", lossType="squared", maxIter=trees, maxDepth=depth,
-        stepSize=step, seed=seed,
-    )
-    return Pipeline(stages=[_assembler(), model]).fit(train)
+def fit_mean(train: DataFrame, trees: int = 300, depth: int = 8, step: float = 0.1, seed: int = 42) -> Boosted:
+    return fit_boosted(train, FEATURES, VALUE, trees, depth, step, seed=seed)
 
 
 def fit_quantile(
-    train: DataFrame, prob: float = 0.9, trees: int = 40, depth: int = 8, min_leaf: int = 20, seed: int = 42
-) -> tuple[PipelineModel, DataFrame]:
-    """A forest and the target quantile of every leaf that has training rows.
-
-    A leaf's quantile comes from a sketch that merges before the shuffle (relative rank error
-    1e-4). The leaf table has one row that holds a map per tree, from leaf id to quantile; at
-    most ``trees * 2**depth`` numbers, whatever the size of the data.
-    """
-    forest = RandomForestRegressor(
-        labelCol=VALUE, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, leafCol="leaves",
-        featureSubsetStrategy="onethird", seed=seed,
-    )
-    model = Pipeline(stages=[_assembler(), forest]).fit(train)
-    placed = model.transform(train).select(
-        VALUE, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf")
-    )
-    per_leaf = quantiles(placed, VALUE, {"q": prob}, keys=["tree", "leaf"], approx=True)
-    entry = F.struct((F.col("tree") * F.lit(1 << 32) + F.col("leaf").cast("bigint")).alias("at"), "q")
-    table = per_leaf.agg(F.map_from_entries(F.collect_list(entry)).alias("leaf_quantiles")).withColumn("_row", F.lit(1))
-    return model, materialize(table)
-
-
-def add_quantile(df: DataFrame, model: PipelineModel, table: DataFrame, name: str = "pred_p90") -> DataFrame:
-    """Mean over the trees of the quantile of the leaf a row falls in; no shuffle of ``df``.
-
-    A leaf without training rows has no say.
-    """
-    placed = model.transform(df).withColumn("_leaves", vector_to_array("leaves")).withColumn("_row", F.lit(1))
-    found = placed.join(F.broadcast(table), "_row")
-    picked = F.transform(
-        "_leaves",
-        lambda leaf, tree: F.try_element_at("leaf_quantiles", tree * F.lit(1 << 32) + leaf.cast("bigint")),
-    )
-    known = F.filter(picked, lambda x: x.isNotNull())
-    mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
-    return found.withColumn(name, mean).select(*df.columns, name)
+    train: DataFrame, prob: float = 0.9, trees: int = 400, depth: int = 8, step: float = 0.05, min_leaf: int = 20, seed: int = 42
+) -> Boosted:
+    """Trees on the pinball loss; a leaf moves by a share of its rows' quantile of what is left."""
+    return fit_boosted(train, FEATURES, VALUE, trees, depth, step, prob, min_leaf, seed=seed)
 
 
-def predict(df: DataFrame, mean_model: PipelineModel, quantile: tuple[PipelineModel, DataFrame]) -> DataFrame:
-    scored = mean_model.transform(df).select(*df.columns, "pred_mean")
-    return add_quantile(scored, *quantile)
+def predict(df: DataFrame, mean_model: Boosted, quantile: Boosted) -> DataFrame:
+    return quantile.transform(mean_model.transform(df, "pred_mean"), "pred_p90")
 
 
 def evaluate(scored: DataFrame, split: str, name: str = "segment") -> DataFrame:

@@ -252,7 +252,7 @@ def segment_models(t: Tables) -> DataFrame:
     """Mean and 90 % models with train and test metrics and the worst segments."""
     train, test = (materialize(p) for p in V.model_frames(readings(t), CUTOFF))
     mean = G.fit_mean(train)
-    high = G.fit_quantile(train, trees=400)
+    high = G.fit_quantile(train)
     scored = {n: materialize(G.predict(p, mean, high)) for n, p in (("train", train), ("test", test))}
     worst = V.segment_errors(scored["test"]).unpivot(
         ["resultId"], ["mae", "rmse", "coverage_p90"], "metric", "value"
