@@ -337,9 +337,23 @@ def jaccard_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group of near copies, with all columns."""
-    kept = jaccard_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest id of each group of near copies, with all columns.
+
+    Rows are judged one by one: rows with one id and unlike texts are documents of their own, and of rows
+    with equal ids in a group one stays. A null id counts as the largest. Where ids are null or
+    repeated, rows are numbered in a stored copy first, else the ids tell them apart.
+    """
+    id_ = F.col("doc_id").cast("bigint")
+    several = docs.select(id_.alias("doc_id")).groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if several.isEmpty():
+        kept = jaccard_groups(docs).where("doc_id = component_id").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = stored(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("n")), "numbered")
+    groups = jaccard_groups(rows.select(F.col("n").alias("doc_id"), F.col("row")["text"].alias("text")))
+    named = groups.select(F.col("doc_id").alias("n"), "component_id").join(rows.select("n", F.col("row")["doc_id"].cast("bigint").alias("id")), "n")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("n").alias("n")))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first")["n"].alias("n"))
+    return rows.join(kept, "n", "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

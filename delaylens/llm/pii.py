@@ -125,11 +125,16 @@ def _voted(text: Column, spans: Column, kind: str, strict: bool) -> Column:
     return F.transform(spans, judge)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and, per kind, the array of its candidate spans with votes; strict ones first."""
+def candidates(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id and, per kind, the array of its candidate spans with votes; strict ones first.
+
+    ``whole`` gives the document's row, all its columns in the struct ``row``, in place of doc_id.
+    """
     d = texts(docs)
-    text = F.col("text")
-    found = d.select("doc_id", "text", *[
+    if whole:
+        d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    text, own = F.col("text"), d.columns[0]
+    found = d.select(own, "text", *[
         F.filter(_spans(text, k, STRICT[k], SIGN[k]), lambda s: _valid(k, s["value"])).alias(f"strict_{k}") for k in KINDS
     ], *[_spans(text, k, LOOSE[k], LOOSE_SIGN[k]).alias(f"loose_{k}") for k in KINDS])
 
@@ -138,7 +143,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         every = F.concat(*[F.col(f"strict_{x}") for x in KINDS])
         return F.filter(f"loose_{k}", lambda s: ~F.exists(every, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
-    return found.select("doc_id", *[
+    return found.select(own, *[
         F.concat(_voted(text, F.col(f"strict_{k}"), k, True), _voted(text, apart(k), k, False)).alias(k) for k in KINDS
     ])
 
@@ -200,7 +205,7 @@ def _chosen(found: DataFrame, weights: dict[str, list[float]]) -> DataFrame:
         kept = F.filter(k, lambda s: s["strict"] | (score(s) > 0))
         return F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["strict"].alias("strict"))))
 
-    return found.select("doc_id", *[take(k).alias(f"all_{k}") for k in KINDS])
+    return found.select(found.columns[0], *[take(k).alias(f"all_{k}") for k in KINDS])
 
 
 def _joined(kind_spans: list[tuple[str, Column]]) -> Column:
@@ -229,15 +234,17 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets, all columns kept.
 
-    Spans of different kinds that overlap are masked as one, under the first one's kind.
+    Spans of different kinds that overlap are masked as one, under the first one's kind. A row is
+    masked by its own spans, found in the same pass, so null and repeated ids and columns of any
+    name are no matter. Null texts stay null.
     """
-    found = stored(candidates(docs), "spans")
+    found = stored(candidates(docs, whole=True), "spans")
     chosen = _chosen(found, train(_patterns(found)))
     every = F.array_sort(F.concat(*[
         F.transform(f"all_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS
     ]))
-    hit = chosen.select("doc_id", every.alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["doc_id"])
-    text = F.col("text")
+    hit = chosen.select("row", every.alias("spans"))
+    text = F.col("row")["text"].cast("string")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -248,12 +255,9 @@ def masked(docs: DataFrame) -> DataFrame:
             F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"),
         )
 
-    clean = F.aggregate(
-        "_spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    )
-    joined = docs.join(hit, "doc_id", "left")
-    columns = [F.when(F.col("_spans").isNotNull(), clean).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    clean = F.aggregate("spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    masked_text = F.when(F.size("spans") > 0, clean).otherwise(text).alias("text")
+    return hit.select(*[masked_text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
