@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
 
+#: Files whose first line is read at a time.
+HEADER_READERS = 16
+
 # The flight file's columns in file order, with their types.
 FLIGHT_TYPES = {
     "year": "int", "month": "int", "day_of_month": "int", "day_of_week": "int", "fl_date": "date",
@@ -39,15 +44,46 @@ def _conform(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """CSV with a header, all columns text.
+def _columns(spark: SparkSession, file: str) -> tuple[str, ...]:
+    return tuple(spark.read.option("header", True).csv(file).columns)
+
+
+def header_groups(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """The files under all paths by their header, in the order of the first file of each header.
 
-    The files under one path must have one header: another one is an error, since Spark would
-    match columns by place. Several paths may differ; their columns are matched by name.
+    Only names of files and their first lines are read, many files at a time. Files without any line
+    have no header and are left out.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    parts = [spark.read.option("header", True).option("enforceSchema", False).csv(p) for p in paths]
-    return union_feeds(*parts)
+    files = []
+    for p in paths:
+        files += sorted(unquote(f) for f in spark.read.text(p).inputFiles())
+    files = list(dict.fromkeys(files))
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(lambda f: _columns(spark, f), files))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(headers, files):
+        if header:
+            groups.setdefault(header, []).append(file)
+    return list(groups.items())
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], with_file: bool = False) -> DataFrame:
+    """CSV with a header, all columns text, matched by name whatever their order in a file.
+
+    Files are read in groups of one header each, since Spark itself matches the columns of several files by
+    place; a column that a file lacks is null there. ``with_file`` adds ``_name`` and ``_path`` of the file and,
+    as ``_line``, the place of a row among those of its file's name. Paths without a line give no columns.
+    """
+    parts = []
+    for header, files in header_groups(spark, path):
+        part = spark.read.option("header", True).option("enforceSchema", False).csv(files)
+        if with_file:
+            name, whole = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+            line = F.struct(name.alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+            part = part.select(*[part[f"`{c}`"] for c in part.columns], name.alias("_name"), whole.alias("_path"), line.alias("_line"))
+        parts.append(part)
+    return union_feeds(*parts) if parts else spark.createDataFrame([], "_name string, _path string" if with_file else "_none string").limit(0)
 
 
 def load_flights(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv") -> DataFrame:
@@ -85,13 +121,11 @@ def load_travel_time(
 ) -> DataFrame:
     """Yearly road CSVs as one table; the year comes from the end of each file's name, or
     of its folder's name where Spark has named the files itself."""
-    raw = (
-        spark.read.option("header", True)
-        .schema("resultId STRING, timeInSeconds DOUBLE, count BIGINT, updated STRING")
-        .csv(paths if isinstance(paths, str) else list(paths))
-    )
-    by_file = F.regexp_extract(F.col("_metadata.file_name"), r"-(\d+)\.[^.]*$", 1).try_cast("int")
-    by_folder = F.regexp_extract(F.col("_metadata.file_path"), r"-(\d+)/[^/]*$", 1).try_cast("int")
+    raw = read_csv(spark, paths, with_file=True)
+    missing = [F.lit(None).cast("string").alias(c) for c in ("resultId", "timeInSeconds", "count", "updated") if c not in raw.columns]
+    raw = raw.select("*", *missing)
+    by_file = F.regexp_extract("_name", r"-(\d+)\.[^.]*$", 1).try_cast("int")
+    by_folder = F.regexp_extract("_path", r"-(\d+)/[^/]*$", 1).try_cast("int")
     # The session zone never enters: text with an offset is shifted by hand, text without
     # one is already UTC.
     offset = F.regexp_extract("updated", r":\d{2}(?:\.\d+)?\s*([+-]\d{2}(?::?\d{2})?)$", 1)
@@ -102,7 +136,8 @@ def load_travel_time(
     wall = F.regexp_replace("updated", r"(:\d{2}(?:\.\d+)?)\s*(?:Z|[+-]\d{2}(?::?\d{2})?)$", "$1").try_cast("timestamp_ntz")
     utc = wall - F.make_dt_interval(mins=F.coalesce(minutes, F.lit(0)))
     out = raw.select(
-        "resultId", "timeInSeconds", "count", utc.alias("updated"),
+        "resultId", F.col("timeInSeconds").try_cast("double").alias("timeInSeconds"), F.col("count").try_cast("bigint").alias("count"),
+        utc.alias("updated"),
         F.coalesce(by_file, by_folder).alias("year"),
     )
     return add_local_features(out) if add_time_features else out
@@ -178,12 +213,7 @@ def load_codebook(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     books = []
     for path in paths:
         try:
-            book = read_csv(spark, path)
-            line = F.struct(
-                F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-            )
-            books.append(book.withColumn("_line", line))
+            books.append(read_csv(spark, path, with_file=True))
         except AnalysisException:
             continue
     return merge_codebook(books)

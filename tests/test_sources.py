@@ -110,8 +110,8 @@ def test_headers_in_another_order(spark, tmp_path):
     b = write(tmp_path / "both" / "b.csv", "dest,origin\nD,C\n")
     rows = readers.load_flights(spark, [a, b]).orderBy("origin").collect()
     assert [(r.origin, r.dest, r.month) for r in rows] == [("A", "B", 1), ("C", "D", None)]
-    with pytest.raises(Exception, match="(?i)header"):
-        readers.load_flights(spark, str(tmp_path / "both")).collect()
+    together = readers.load_flights(spark, str(tmp_path / "both")).orderBy("origin").collect()
+    assert [(r.origin, r.dest, r.month) for r in together] == [("A", "B", 1), ("C", "D", None)]
 
 
 def test_last_row_of_part_files_wins(spark, tmp_path):
@@ -121,3 +121,47 @@ def test_last_row_of_part_files_wins(spark, tmp_path):
     write(folder / "part-1.csv", "CODE,DESCRIPTION\nX,second\n")
     got = {r.code: r.description for r in readers.load_codebook(spark, [str(folder)]).collect()}
     assert got["X"] == "second"
+
+
+def _write(path, text):
+    path.parent.mkdir(exist_ok=True, parents=True)
+    path.write_text(text)
+
+
+def test_files_of_one_folder_in_other_orders(spark, tmp_path):
+    """Every CSV reader matches columns by name inside one path too."""
+    roads = tmp_path / "my roads"
+    _write(roads / "t-2020.csv", "resultId,timeInSeconds,count,updated\na,1.5,10,2020-01-01 00:00:00\n")
+    _write(roads / "t-2021.csv", "resultId,count,timeInSeconds,updated\nb,20,2.5,2021-01-01 00:00:00\n")
+    _write(roads / "t-2022.csv", "updated,resultId,timeInSeconds\n2022-01-01 00:00:00,c,x\n")
+    _write(roads / "t-2023.csv", "")
+    got = {r.resultId: (r.timeInSeconds, r["count"], r.year) for r in readers.load_travel_time(spark, str(roads)).collect()}
+    assert got == {"a": (1.5, 10, 2020), "b": (2.5, 20, 2021), "c": (None, None, 2022)}
+
+    flights = tmp_path / "flights"
+    _write(flights / "a.csv", "origin,dest,arr_delay\nAAA,BBB,5\n")
+    _write(flights / "b.csv", "arr_delay,dest,origin\n7,CCC,DDD\n")
+    got = {(r.origin, r.dest, r.arr_delay) for r in readers.load_flights(spark, str(flights)).collect()}
+    assert got == {("AAA", "BBB", 5.0), ("DDD", "CCC", 7.0)}
+
+    modes = tmp_path / "modes"
+    _write(modes / "a.csv", "Date,Time,Station,Code,Line,Min Delay\n2024-01-01,08:00,KING STATION,X,1,3\n")
+    _write(modes / "b.csv", "Station,Min Delay,Line,Code,Time,Date,Min Gap\nQUEEN STATION,4,2,Y,09:00,2024-01-02,6\n")
+    got = {(r.code, r.min_delay, r.min_gap, r.line) for r in readers.load_mode_file(spark, str(modes), "subway").collect()}
+    assert got == {("X", 3.0, None, "1"), ("Y", 4.0, 6.0, "2")}
+
+    books = tmp_path / "books"
+    _write(books / "a.csv", "CODE,DESCRIPTION\nx,old\ny,why\n")
+    _write(books / "b.csv", "DESCRIPTION,CODE\nnew,X\n")
+    got = {(r.code, r.description) for r in readers.load_codebook(spark, [str(books)]).collect()}
+    assert got == {("X", "new"), ("Y", "why")}
+
+
+def test_header_groups_and_no_files(spark, tmp_path):
+    _write(tmp_path / "a" / "1.csv", "x,y\n1,2\n")
+    _write(tmp_path / "a" / "2.csv", "y,x\n1,2\n")
+    _write(tmp_path / "a" / "3.csv", "x,y\n3,4\n")
+    groups = readers.header_groups(spark, str(tmp_path / "a"))
+    assert [(h, len(f)) for h, f in groups] == [(("x", "y"), 2), (("y", "x"), 1)]
+    _write(tmp_path / "b" / "1.csv", "")
+    assert readers.read_csv(spark, str(tmp_path / "b")).count() == 0
