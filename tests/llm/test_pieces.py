@@ -88,11 +88,12 @@ def test_trie_holds_exactly_its_keys():
 
 
 def test_whole_table(spark, model):
-    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
     got = entry.queries()["op5_pieces"](spark, SMALL).collect()
     assert {r.doc_id: r.text_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows.items()}
     some = next(r for r in got if r.doc_id == 3)
-    ids, n = pieces.encode(model, pa.array([rows[3]]))
+    ids, n = pieces.encode(pieces.learned(docs, model), pa.array([rows[3]]))
     assert (some.n_pieces, some.ids_crc32) == (len(ids), zlib.crc32(ids.astype("<u4")))
 
 
