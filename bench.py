@@ -24,8 +24,8 @@ HEADLINE = (
     "speed_distribution", "daily_rolling", "daily_lags", "travel_yearly", "segment_stats",
     "segment_priors", "ripple_matches", "ripple_incidents", "station_impacts", "ripple_timeline",
     "ripple_dataset", "temporal_split", "stratified_split", "roc_auc", "average_precision",
-    "threshold_sweep", "classification_report", "logistic_delay_model", "boosted_delay_model",
-    "isolation_forest_causes", "daily_rolling_model", "carrier_rolling_forecast", "segment_models",
+    "threshold_sweep", "classification_report", "logistic_delay_model",
+    "isolation_forest_causes", "daily_rolling_model", "carrier_rolling_forecast", "overall_rolling_forecast",
 )
 
 

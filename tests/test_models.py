@@ -231,3 +231,25 @@ def test_bounded_draws_and_size_check(spark, monkeypatch):
     monkeypatch.setattr(T, "MOST_BYTES", 100)
     with pytest.raises(ValueError):
         T.fit_forest(_noise(spark), ["a", "b"], "y", ["id"], trees=5, rows_per_tree=100)
+
+
+def test_classifiers_trained_small(tables):
+    """The registered comparison's operators at few trees: the leaky set must look better."""
+    from delaylens.ml import classify as C
+    from delaylens.plans import model_queries as Q
+
+    few = {name: C.Boosting(4, 3, 0.3, 0.9) for name in ("leaky", "predeparture")}
+    got = {(r.model, r.metric): r.value for r in C.compare(Q._model_flights(tables), few, Q.KEYS).collect()}
+    assert got["leaky", "roc_auc"] >= got["predeparture", "roc_auc"] > 0.3
+
+
+def test_follow_on_models_trained_small(tables):
+    from delaylens.plans import model_queries as Q
+
+    rows = Q._ripple_rows(tables)
+    model = P.fit_classifier(rows, "ripple_label", P.Size(3, 3))
+    scored = P.add_amount(P.add_probability(rows, model, "p"), P.fit_positive(rows, P.Size(3, 3)))
+    low, high, amount = scored.agg(F.min("p"), F.max("p"), F.min("amount")).first()
+    assert 0 <= low <= high <= 1 and amount >= 0
+    effects = P.permutation_importance(rows.filter(F.col("is_train") == 0), P.fit_positive(rows, P.Size(2, 2)))
+    assert effects.count() == len(P.CATEGORIES) + len(P.NUMBERS)
