@@ -236,10 +236,10 @@ def masked(docs: DataFrame) -> DataFrame:
 
     Spans of different kinds that overlap are masked as one, under the first one's kind. A row is
     masked by its own spans, found in the same pass, so null and repeated ids and columns of any
-    name are no matter. Null texts stay null.
+    name are no matter. The votes are counted in a pass of their own before. Null texts stay null.
     """
-    found = stored(candidates(docs, whole=True), "spans")
-    chosen = _chosen(found, train(_patterns(found)))
+    weights = train(_patterns(stored(candidates(docs), "spans")))
+    chosen = _chosen(candidates(docs, whole=True), weights)
     every = F.array_sort(F.concat(*[
         F.transform(f"all_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS
     ]))
