@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from delaylens.llm.shingles import mix
 from delaylens.llm.tables import stored, table, texts
-from delaylens.llm.tokens import TextEncoder, encoded, vocabulary_path
+from delaylens.llm.tokens import TextEncoder, encoded, vocabulary_path, worker_encoder
 
 CONTEXT = 2048
 END = 1
@@ -26,6 +26,8 @@ DIMENSIONS, BITS = 4, 12
 BUCKETS = 4_096
 #: Bytes of stored ids that a range partition should hold: some hundred sequences at least.
 PARTITION_BYTES = 16 << 20
+#: Documents travel in parts of at most so many ids, so that ranges of equal rows hold about equal ids.
+PART = 512
 
 
 def hilbert_key(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -70,48 +72,76 @@ def coordinates(ids: np.ndarray, n: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return ((np.tanh(4 * mean) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
 
 
+def _in_parts(n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The document and the start of each part of at most ``size`` ids, given the documents' lengths."""
+    parts = -(-n // size)
+    doc = np.repeat(np.arange(len(n)), parts)
+    return doc, (np.arange(len(doc)) - (np.cumsum(parts) - parts)[doc]) * size
+
+
 def _tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
+    """Parts of documents. ``digest`` and ``row`` tell documents with one doc_id, or none, apart."""
+
     def run(batches):
-        encoder = TextEncoder(path)
+        from pyspark import TaskContext
+
+        encoder, row = worker_encoder(path), TaskContext.get().partitionId() << 33
         axes = projection(max(len(encoder.begins), end + 1))
         width = np.uint16 if len(axes) <= 1 << 16 else np.uint32
         for batch in batches:
             for at, ids, n in encoded(encoder, batch.column(1), end):
                 key = hilbert_key(coordinates(ids, n, axes), BITS)
-                limits = np.concatenate([[0], np.cumsum(n)]) * width().itemsize
+                begins = np.cumsum(n) - n
+                digest = np.array([zlib.crc32(ids[i : i + k]) for i, k in zip(begins, n)], np.int64)
+                doc, start = _in_parts(n, PART)
+                limits = np.append(begins[doc] + start, len(ids)) * width().itemsize
                 packed = pa.Array.from_buffers(
-                    pa.large_binary(), len(n), [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(ids.astype(width))]
+                    pa.large_binary(), len(doc), [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(ids.astype(width))]
                 ).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(n)), pa.array(key), pa.array(n), packed],
-                    names=["doc_id", "key", "doc_tokens", "ids"],
+                    [batch.column(0).slice(at, len(n)).take(pa.array(doc)), *map(pa.array, (key[doc], n[doc], digest[doc], row + doc, start)), packed],
+                    names=["doc_id", "key", "doc_tokens", "digest", "row", "start", "ids"],
                 )
+                row += len(n)
 
-    return docs.mapInArrow(run, "doc_id long, key long, doc_tokens long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, key long, doc_tokens long, digest long, row long, start long, ids binary")
 
 
 def _packer(context: int, width: type):
-    """Cut one partition's stream of documents into pieces that lie in one sequence each."""
+    """Cut one partition's stream of parts into pieces that lie in one sequence each."""
 
     def run(batches):
         from pyspark import TaskContext
 
         sequence, offset = TaskContext.get().partitionId() << 32, 0
+        out = [[] for _ in NAMES]
+        # The piece that the next part may go on with: its row and columns; length 0 if there is none.
+        row = doc = total = begin = crc = at = length = 0
+
+        def close():
+            if length:
+                for column, value in zip(out, (doc, begin, length, crc, total, sequence, at)):
+                    column.append(value)
+
         for batch in batches:
-            out = [[] for _ in range(7)]
-            docs, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, total, packed in zip(docs, sizes, batch.column(2)):
+            columns = [c.to_pylist() for c in batch.columns[:4]]
+            for new_doc, new_total, new_row, start, packed in zip(*columns, batch.column(4)):
                 ids = np.frombuffer(packed.as_buffer(), width).astype("<u4")
-                start = 0
-                while start < total:
-                    length = min(context - offset, total - start)
-                    crc = zlib.crc32(ids[start : start + length])
-                    for column, value in zip(out, (doc, start, length, crc, total, sequence, offset)):
-                        column.append(value)
-                    start, offset = start + length, offset + length
+                used = 0
+                while used < len(ids):
+                    if not (length and new_row == row and start + used == begin + length):
+                        close()
+                        row, doc, total, begin, crc, at, length = new_row, new_doc, new_total, start + used, 0, offset, 0
+                    more = min(context - offset, len(ids) - used)
+                    crc = zlib.crc32(ids[used : used + more], crc)
+                    used, length, offset = used + more, length + more, offset + more
                     if offset == context:
-                        sequence, offset = sequence + 1, 0
+                        close()
+                        sequence, offset, length = sequence + 1, 0, 0
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=NAMES)
+            out = [[] for _ in NAMES]
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=NAMES)
 
     return run
 
@@ -126,17 +156,18 @@ def pack(docs: DataFrame, path: str | None = None, end: int = END, context: int
     document that doesn't fit into its sequence goes on in the next; texts of any length are
     encoded whole. Sequences are full but for the last of each range partition, whose padding is
     left to the reader (to the next power of two). Copies and rows with equal keys are ordered
-    by doc_id and content and may lie in several partitions. Repeated rows are packed each, rows
+    by doc_id and a digest of the ids and may lie in several partitions, as may the parts of a long document. Repeated rows are packed each, rows
     with a null doc_id too. An empty table gives an empty result.
     """
     path = path or vocabulary_path()
     # Stored once: range bounds are sampled from it, then it is sorted.
     ready = stored(_tokenised(texts(docs), path, end), "token-ids")
-    size = ready.agg(F.sum("doc_tokens")).first()[0] or 0
+    size = ready.where("start = 0").agg(F.sum("doc_tokens")).first()[0] or 0
     parts = max(1, -(-size * 2 // PARTITION_BYTES))
-    ordered = ready.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    order = ["key", "doc_id", "digest", "row", "start"]
+    ordered = ready.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     width = np.uint16 if len(TextEncoder(path).begins) <= 1 << 16 and end < 1 << 16 else np.uint32
-    return ordered.select("doc_id", "doc_tokens", "ids").mapInArrow(
+    return ordered.select("doc_id", "doc_tokens", "row", "start", "ids").mapInArrow(
         _packer(context, width), ", ".join(f"{n} long" for n in NAMES)
     )
 

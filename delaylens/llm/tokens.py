@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +13,9 @@ import pyarrow.compute as pc
 
 #: Texts are tokenised together in groups of about so many bytes.
 BYTES = 8 << 20
-#: So many distinct words are remembered within a task before starting afresh: a bound on memory.
-KNOWN = 1 << 20
+#: So many distinct words are remembered before starting afresh, a bound on memory: within one task, and by a
+#: Python worker over its tasks.
+KNOWN, KNOWN_BY_WORKER = 1 << 20, 1 << 21
 #: Distinct words are encoded in runs of so many.
 RUN = 2_000
 
@@ -35,7 +38,8 @@ class TextEncoder:
 
     IRREGULAR = r"( ([^!-~À-ɏ]|$))|^ |\x00"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = KNOWN):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +55,7 @@ class TextEncoder:
 
     def _look_up(self, words: pa.Array) -> np.ndarray:
         """Places of distinct words among the known ones; new ones are encoded and remembered."""
-        if len(self.known) > KNOWN:
+        if len(self.known) > self.remembered:
             self._forget()
         place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
         new = place < 0
@@ -118,6 +122,17 @@ class TextEncoder:
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), n_ids
 
 
+def worker_encoder(path: str) -> TextEncoder:
+    """The encoder of this Python worker, kept for its later tasks with the words it knows.
+
+    Our functions travel by value, so the place that outlives a task is a module made here.
+    """
+    kept = sys.modules.setdefault("_kept_text_encoders", types.ModuleType("_kept_text_encoders")).__dict__
+    if path not in kept:
+        kept[path] = TextEncoder(path, KNOWN_BY_WORKER)
+    return kept[path]
+
+
 def encoded(encoder: TextEncoder, column: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids with ``end`` after each text, ids of each text) in groups of bounded size."""
     column = column.cast(pa.large_string())

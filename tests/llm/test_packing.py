@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from delaylens.llm import packing
-from delaylens.llm.tokens import TextEncoder, vocabulary_path
+from delaylens.llm.tokens import TextEncoder, vocabulary_path, worker_encoder
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb c", "don't 've", "a\x00b c", "\n\nabc def\n\n ghi",
        "é ß ñ", "日本 語 x", "1 2 3 45", "a b\n\n", "<|endoftext|> a", "q  z", "a  b", "x" * 5000]
@@ -76,3 +76,31 @@ def test_edge_cases(documents, encoder, monkeypatch):
     assert check(rows, pieces, encoder, 64) >= 1
     assert packing.pack(documents([])).count() == 0
     assert packing.pack(documents([(1, "a"), (1, "a")])).count() == 2
+
+
+def test_parts_are_put_together(spark, documents, encoder):
+    long = "some words of a long text that goes on " * 400
+    rows = [(1, long), (1, long), (1, long[::-1]), (None, long), (None, long + "x"), (2, "short")]
+    pieces = packing.pack(documents(rows)).collect()
+    want = [np.append(encoder.whole([t])[0], 1) for _, t in rows]
+    assert sum(p.length for p in pieces) == sum(map(len, want))
+    # One stream: a document is cut only where a sequence ends, whatever parts it travelled in.
+    cuts = sum(p.start > 0 for p in pieces)
+    assert len(pieces) == len(rows) + cuts and cuts <= sum(map(len, want)) // 2048
+    assert all(p.offset == 0 for p in pieces if p.start > 0)
+
+
+def test_ranges_hold_about_equal_ids(documents, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_BYTES", 40_000)
+    rows = [(i, f"w{i % 7} " * (4_000 if i % 40 == 0 else 30 + i % 50)) for i in range(1200)]
+    held = {}
+    for p in packing.pack(documents(rows)).collect():
+        held[p.sequence_id >> 32] = held.get(p.sequence_id >> 32, 0) + p.length
+    # Ranges are cut by sampled rows; the 30 long texts are six tenths of all ids and have few keys.
+    assert len(held) > 5 and max(held.values()) < 3 * sum(held.values()) / len(held)
+
+
+def test_a_worker_keeps_what_it_knows():
+    first = worker_encoder(vocabulary_path())
+    first.encode(pa.array(["to know words"]))
+    assert worker_encoder(vocabulary_path()) is first and len(first.known) == 2
