@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -334,28 +336,65 @@ HISTORY = {
 }
 
 
-def add_history(df: DataFrame, fallback: dict[str, float], kinds=("station", "code", "line")) -> DataFrame:
+ROW = "_row"
+#: Target columns by their short names, and the history kind that takes in every earlier incident.
+TARGET_OF = {"delay": "target_surface_delay", "events": "target_surface_events", "linger": "target_linger_minutes"}
+OVERALL = "all"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Stored rows with a number each, by which what is worked out elsewhere finds its row."""
+    return df if ROW in df.columns else materialize(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def earlier_sums(df: DataFrame, kinds: Mapping[str, str | None]) -> DataFrame:
+    """Per row of a ``numbered`` table and kind: number and target sums of the *earlier* rows with its key.
+
+    ``kinds`` names key columns (None: all rows have one key). Each row enters one range sweep once per
+    kind, without its other columns, and all prefix sums come from that sweep: the number of passes
+    doesn't grow with the kinds, and a key with a third of the rows is cut into slices. Order is (time,
+    id, row). A null key is a key of its own; a null target adds nothing.
+    """
+    keyed = [
+        F.struct(F.lit(kind).alias("_kind"), (F.lit(None) if key is None else F.col(key)).cast("string").alias("_key"))
+        for kind, key in kinds.items()
+    ]
+    stacked = df.select(
+        ROW, "subway_timestamp", "incident_id", F.lit(1).cast("bigint").alias("_one"),
+        *[F.coalesce(F.col(c).cast(EXACT_HISTORY), F.lit(0)).cast(EXACT_HISTORY).alias(f"_{t}") for t, c in TARGET_OF.items()],
+        F.inline(F.array(*keyed)),
+    )
+    sums = ["_one", *[f"_{t}" for t in TARGET_OF]]
+    swept = running(stacked, ["subway_timestamp", "incident_id", ROW], sums=sums, keys=["_kind", "_key"])
+    return swept.groupBy(ROW).agg(*[
+        F.max(F.when(F.col("_kind") == kind, F.col(f"{c}_run") - F.col(c))).alias(f"_{kind}{c}") for kind in kinds for c in sums
+    ])
+
+
+def add_history(
+    df: DataFrame, fallback: Mapping[str, float], kinds: Sequence[str] = ("station", "code", "line"), overall: bool = False
+) -> DataFrame:
     """Means, totals and counts over the *earlier* incidents of the station, code and line.
 
-    Order is (time, id). A key without history gets ``fallback`` (one value per target).
-    Codes and lines are few, so every one of them is a hot key: each pass uses ``running``.
+    A key without history gets ``fallback`` (one value per target). ``overall`` adds the mean delay
+    of all earlier incidents, the first one 0, from the same sweep.
     """
-    out = df
+    rows = numbered(df)
+    keys = {kind: HISTORY[kind][0] for kind in kinds} | ({OVERALL: None} if overall else {})
+    made = {}
     for kind in kinds:
-        key, targets = HISTORY[kind]
-        work = out.withColumns({"_one": F.lit(1).cast("bigint"), **{f"_{t}": F.col(c).cast(EXACT_HISTORY) for t, c in targets.items()}})
-        swept = running(
-            work, ["subway_timestamp", "incident_id"], sums=["_one", *[f"_{t}" for t in targets]], keys=[key]
-        )
-        seen = F.col("_one_run") - 1
-        made = {f"{kind}_prev_incidents": seen}
-        for t, column in targets.items():
-            before = (F.col(f"_{t}_run") - F.col(f"_{t}")).cast("double")
+        seen = F.col(f"_{kind}_one")
+        made[f"{kind}_prev_incidents"] = seen
+        for t, column in HISTORY[kind][1].items():
+            before = F.col(f"_{kind}_{t}").cast("double")
             made[f"{kind}_prev_{t}_mean"] = F.when(seen > 0, before / seen).otherwise(F.lit(fallback[column]))
         if kind == "station":
-            made["station_prev_delay_total"] = (F.col("_delay_run") - F.col("_delay")).cast("double")
-        out = swept.withColumns(made).drop(*[c for c in swept.columns if c.startswith("_")])
-    return out
+            made["station_prev_delay_total"] = F.col("_station_delay").cast("double")
+    if overall:
+        seen, before = F.col(f"_{OVERALL}_one"), F.col(f"_{OVERALL}_delay").cast("double")
+        made["global_prev_delay"] = F.when(seen > 0, before / seen).otherwise(F.lit(0.0))
+    kept = [c for c in df.columns if c != ROW and c not in made]
+    return rows.join(earlier_sums(rows, keys), ROW).select(*kept, *[c.alias(n) for n, c in made.items()])
 
 
 def add_recent(df: DataFrame, block: int = 10_000, rows: int = 3) -> DataFrame:
@@ -379,12 +418,7 @@ def add_recent(df: DataFrame, block: int = 10_000, rows: int = 3) -> DataFrame:
 
 def add_global_history(df: DataFrame) -> DataFrame:
     """Mean delay of all earlier incidents, the first one 0."""
-    work = df.withColumns({"_one": F.lit(1).cast("bigint"), "_delay": F.col("target_surface_delay").cast(EXACT_HISTORY)})
-    swept = running(work, ["subway_timestamp", "incident_id"], sums=["_one", "_delay"])
-    seen = F.col("_one_run") - 1
-    before = (F.col("_delay_run") - F.col("_delay")).cast("double")
-    mean = F.when(seen > 0, before / seen).otherwise(F.lit(0.0))
-    return swept.withColumn("global_prev_delay", mean).drop("_one", "_delay", "_one_run", "_delay_run")
+    return add_history(df, {}, kinds=(), overall=True)
 
 
 # The columns of the incident dataset, in file order.
@@ -409,7 +443,7 @@ def target_means(df: DataFrame) -> dict[str, float]:
 def incident_dataset(found: DataFrame, fallback_rows: DataFrame | None = None) -> DataFrame:
     """The modelling table. By default keys without history take the mean over all rows,
     which looks ahead; pass the training rows as ``fallback_rows`` to avoid that."""
-    base = materialize(labelled(found))
+    base = numbered(labelled(found))
     fallback = target_means(base if fallback_rows is None else fallback_rows)
-    full = add_global_history(add_recent(add_history(base, fallback)))
+    full = add_recent(add_history(base, fallback, overall=True))
     return full.select(*DATASET_COLUMNS)

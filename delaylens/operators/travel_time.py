@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
 from delaylens.operators.ordered import histogram, histogram_quantiles, quantiles, running, top_k
+from delaylens.session import materialize
 
 VALUE = "timeInSeconds"
 
@@ -45,6 +46,40 @@ def yearly(df: DataFrame) -> DataFrame:
     return stats.join(distinct, "year")
 
 
+#: Levels of the profile cube and the columns that hold their keys.
+LEVELS = {"hour": "hour", "weekday": "dow", "month": "month", "year": "year", "segment": "resultId"}
+
+
+def profile_cube(
+    df: DataFrame, levels: Mapping[str, str] = LEVELS, probs: Mapping[str, float] | None = None
+) -> DataFrame:
+    """Figures and exact quantiles of every key of every level from one scan.
+
+    One row per level and key (as text): records, mean_time, mean_sample_size, start, end and the quantiles.
+    Grouping sets count the distinct values of all levels together, and this one histogram is
+    ranked once. A null key has no row; null values count as records only.
+    """
+    probs = probs or {"median_time": 0.5, "p80_time": 0.8, "p90_time": 0.9}
+    names, columns = list(levels), [f"_key{i}" for i in range(len(levels))]
+    rows = df.select(
+        *[F.col(c).cast("string").alias(k) for k, c in zip(columns, levels.values())],
+        S.nan_to_null(F.col(VALUE).cast("double")).alias("_v"), F.col("count").alias("_count"), F.col("updated_local").alias("_at"),
+    )
+    sets = rows.groupingSets([[F.col(k), F.col("_v")] for k in columns], *map(F.col, columns), F.col("_v")).agg(
+        F.grouping_id().alias("_id"), F.count("*").alias("_n"), F.sum("_count").alias("_samples"),
+        F.count("_count").alias("_sampled"), F.min("_at").alias("_start"), F.max("_at").alias("_end"),
+    )
+    # In a set the bit of its own key, counted from the value's, is 0 and all other keys' bits are 1.
+    own = [F.expr(f"(_id >> {len(columns) - i}) & 1") == 0 for i in range(len(columns))]
+    level = F.coalesce(*[F.when(o, F.lit(n)) for o, n in zip(own, names)])
+    key = F.coalesce(*[F.when(o, F.col(k)) for o, k in zip(own, columns)])
+    hist = materialize(
+        sets.select(level.alias("level"), key.alias("key"), "_v", "_n", "_samples", "_sampled", "_start", "_end").where("key IS NOT NULL")
+    )
+    plain = hist.groupBy("level", "key").agg(*[build().alias(name) for name, build in MERGED.items()])
+    return plain.join(histogram_quantiles(hist, probs, ["level", "key"]), ["level", "key"], "left")
+
+
 def _by(df: DataFrame, key: str) -> DataFrame:
     return _profile(df, key, {"median_time": 0.5}, mean_time="mean_time", sample_records="records")
 

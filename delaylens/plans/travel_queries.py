@@ -49,6 +49,17 @@ PROFILE = """round(avg(timeInSeconds), 6) AS mean_time, count(*) AS sample_recor
   round(quantile_cont(timeInSeconds, 0.5), 6) AS median_time FROM travel GROUP BY ALL"""
 
 
+CUBE = """round(avg(timeInSeconds), 6) AS mean_time, round(avg("count"), 6) AS mean_sample_size, count(*) AS records,
+  round(quantile_cont(timeInSeconds, 0.5), 6) AS median_time, round(quantile_cont(timeInSeconds, 0.8), 6) AS p80_time,
+  round(quantile_cont(timeInSeconds, 0.9), 6) AS p90_time FROM travel GROUP BY ALL"""
+
+
+@query(sql(" UNION ALL ".join(
+    f"SELECT '{level}' AS level, CAST({column} AS VARCHAR) AS key, {CUBE}" for level, column in V.LEVELS.items())))
+def travel_profile_cube(t: Tables) -> DataFrame:
+    return V.profile_cube(readings(t)).drop("start", "end")
+
+
 @query(sql(f"SELECT CAST(hour AS BIGINT) AS hour, {PROFILE}"))
 def travel_hourly(t: Tables) -> DataFrame:
     return V.hourly(readings(t))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delaylens.operators import joins as J
+from delaylens.operators import ordered as O
 from delaylens.operators import ripple as R
 from delaylens.sources import readers
 
@@ -129,6 +130,45 @@ def test_recent_rows_cross_block_borders(spark):
         assert small[i].station_prev_incidents == i
 
 
+def test_history_of_all_kinds_comes_from_one_sweep(spark, monkeypatch):
+    keys = ["S", "T", None]
+    rows = [
+        (i, keys[min(2, i % 5)] if i % 3 else "S", f"c{i % 4}", "L", START + dt.timedelta(minutes=i // 2),
+         None if i % 11 == 0 else float(i * i % 17), float(i % 5), 0.5 * i)
+        for i in range(90)
+    ] + [(7, "S", "c1", "L", START, 3.0, 1.0, 1.0)] * 2
+    df = spark.createDataFrame(
+        rows, "incident_id int, station_key string, subway_code string, subway_line string, subway_timestamp timestamp_ntz, "
+        "target_surface_delay double, target_surface_events double, target_linger_minutes double")
+    stored = []
+    for module in (R, O):
+        monkeypatch.setattr(module, "materialize", lambda d, real=module.materialize: stored.append(1) or real(d))
+    got = R.add_history(df, {t: -1.0 for t in R.TARGETS}, overall=True).collect()
+    assert len(stored) == 2 and len(got) == len(rows)
+
+    def when(r):
+        return r[4], r[0]
+
+    def mean(values, default):
+        return pytest.approx(sum(values) / len(values)) if values else default
+
+    for r in got:
+        if r.incident_id == 7:
+            continue  # several rows with one order
+        own = rows[r.incident_id]
+        before = [x for x in rows if when(x) < when(own)]
+        station = [x for x in before if x[1] == own[1]]
+        assert r.station_prev_incidents == len(station)
+        assert r.station_prev_delay_total == pytest.approx(sum(x[5] or 0 for x in station))
+        assert r.station_prev_linger_mean == mean([x[7] for x in station], -1.0)
+        assert r.code_prev_events_mean == mean([x[6] for x in before if x[2] == own[2]], -1.0)
+        assert r.line_prev_delay_mean == r.global_prev_delay or not before
+        assert r.global_prev_delay == mean([x[5] or 0 for x in before], 0.0)
+    seven = sorted(r.line_prev_incidents for r in got if r.incident_id == 7)
+    assert len(seven) == 3 and len(set(seven)) == 3
+    assert R.add_history(df.limit(0), {t: 0.0 for t in R.TARGETS}).count() == 0
+
+
 def test_zero_fill_and_merge(spark):
     counts = spark.createDataFrame([("a", 1, 5)], "k string, m int, n bigint")
     domain = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string")
