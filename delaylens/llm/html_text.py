@@ -328,14 +328,15 @@ def _framed(page: str, other: str, rng: np.random.Generator) -> str:
 
 
 def train(pages: DataFrame) -> Boosted:
-    """Fit on a bounded sample of pages, chosen by the hash of their id.
+    """Fit on a bounded sample of pages, chosen by the hash of their id: at most ``SAMPLE_PAGES``
+    pages with a text, the first ``SAMPLE_CHARS`` characters of each, however long they are.
 
     Labels come from semantic tags and class names. Each page is also shown with its tags, and
     with tags and class names, taken away, and with boxes of other pages' text, so that the trees
     learn from text, links and names alike.
     """
-    rows = pages.where(share_by_hash("page_id", pages.select("page_id").count(), SAMPLE_PAGES)).select("page_id", "html")
-    rows = rows.where(F.length("html").between(1, SAMPLE_CHARS))
+    filled = pages.where(F.length("html") > 0).select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    rows = filled.where(share_by_hash("page_id", filled.count(), SAMPLE_PAGES))
     sample = rows.orderBy(F.xxhash64("page_id"), "html").limit(SAMPLE_PAGES).collect()
     return train_on([r.html for r in sample])
 

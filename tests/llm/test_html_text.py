@@ -74,3 +74,16 @@ def test_boosting_learns_a_rule():
     x = rng.random((3000, 4))
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
     assert ((html_text.boost(x, y).margin(x) > 0) == y).mean() > 0.98
+
+
+def test_sample_comes_from_pages_that_exist(spark, monkeypatch):
+    """Pages that are all longer than the bound, among many empty ones, still teach."""
+    monkeypatch.setattr(html_text, "SAMPLE_CHARS", 2_500)
+    monkeypatch.setattr(html_text, "SAMPLE_PAGES", 12)
+    shown = []
+    monkeypatch.setattr(html_text, "train_on", lambda sample, real=html_text.train_on: shown.extend(sample) or real(sample))
+    real = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("length(html) > 2500").select("page_id", "url", "html").limit(12)
+    empty = spark.range(1000, 4000).selectExpr("id AS page_id", "'u' AS url", "IF(id % 2 = 0, '', NULL) AS html")
+    got = html_text.extract(real.unionByName(empty)).where("page_id < 1000").collect()
+    assert len(shown) == len(got) > 0 and all(len(s) == 2_500 for s in shown)
+    assert all(r.n_chars > 0 for r in got)
