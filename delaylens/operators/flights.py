@@ -13,6 +13,7 @@ from delaylens.functions import features as X
 from delaylens.functions import scalars as S
 from delaylens.operators.joins import keep_top_keys, merge_counts, zero_fill
 from delaylens.operators.ordered import histogram, histogram_quantiles, quantiles, top_k
+from delaylens.operators.radix import bounded, radix_quantiles
 from delaylens.session import materialize
 
 MONTHS = tuple(range(1, 13))
@@ -302,19 +303,19 @@ def top_routes_by_month(df: DataFrame, k: int = 20) -> DataFrame:
 
 def speed_distribution(df: DataFrame) -> DataFrame:
     """Box plot figures of flight speed per carrier: quartiles and 1.5 IQR whiskers."""
-    speed = _known(X.filter_valid(df), CARRIER).select(
-        CARRIER, S.speed_mph("distance", "air_time").alias("speed")
+    speed = materialize(
+        _known(X.filter_valid(df), CARRIER).select(CARRIER, S.speed_mph("distance", "air_time").alias("speed"))
     )
-    hist = histogram(speed, "speed", [CARRIER])
-    quart = histogram_quantiles(hist, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [CARRIER])
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    quart = materialize(radix_quantiles(speed, "speed", probs, [CARRIER], store=False))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.when(F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach), F.col("_v"))
+    inside = F.when(F.col("speed").between(F.col("q1") - reach, F.col("q3") + reach), F.col("speed"))
     return (
-        hist.join(quart, CARRIER)
+        speed.join(bounded(quart, [CARRIER]), CARRIER)
         .groupBy(CARRIER, "q1", "median", "q3")
         .agg(
             F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"),
-            F.sum("_n").alias("flights"),
+            F.count("*").alias("flights"),
         )
     )
 

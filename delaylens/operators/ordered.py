@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
+from delaylens.operators.radix import radix_quantiles
 from delaylens.session import materialize
 
 
@@ -132,14 +133,15 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles per key; ``probs`` maps output names to ranks.
 
-    ``approx`` trades exactness for a bounded sketch per key.
+    ``approx`` trades exactness for a bounded sketch per key. Otherwise ranks are found by radix
+    selection; where a ``histogram`` is at hand for other figures, take ``histogram_quantiles``.
     """
     if approx:
         names, ranks = list(probs), [float(p) for p in probs.values()]
         kept = df.filter(F.col(value).isNotNull())
         got = kept.groupBy(*keys).agg(F.percentile_approx(value, ranks, 10_000).alias("_q"))
         return got.select(*keys, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return histogram_quantiles(histogram(df, value, keys), probs, keys)
+    return radix_quantiles(df, value, probs, keys)
 
 
 def first_k(
