@@ -347,10 +347,12 @@ def numbered(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else materialize(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def earlier_sums(df: DataFrame, kinds: Mapping[str, str | None]) -> DataFrame:
+def earlier_sums(
+    df: DataFrame, kinds: Mapping[str, str | None], targets: Mapping[str, str] = TARGET_OF
+) -> DataFrame:
     """Per row of a ``numbered`` table and kind: number and target sums of the *earlier* rows with its key.
 
-    ``kinds`` names key columns (None: all rows have one key). Each row enters one range sweep once per
+    ``kinds`` names key columns (None: all rows have one key), ``targets`` the summed columns. Each row enters one range sweep once per
     kind, without its other columns, and all prefix sums come from that sweep: the number of passes
     doesn't grow with the kinds, and a key with a third of the rows is cut into slices. Order is (time,
     id, row). A null key is a key of its own; a null target adds nothing.
@@ -361,10 +363,10 @@ def earlier_sums(df: DataFrame, kinds: Mapping[str, str | None]) -> DataFrame:
     ]
     stacked = df.select(
         ROW, "subway_timestamp", "incident_id", F.lit(1).cast("bigint").alias("_one"),
-        *[F.coalesce(F.col(c).cast(EXACT_HISTORY), F.lit(0)).cast(EXACT_HISTORY).alias(f"_{t}") for t, c in TARGET_OF.items()],
+        *[F.coalesce(F.col(c).cast(EXACT_HISTORY), F.lit(0)).cast(EXACT_HISTORY).alias(f"_{t}") for t, c in targets.items()],
         F.inline(F.array(*keyed)),
     )
-    sums = ["_one", *[f"_{t}" for t in TARGET_OF]]
+    sums = ["_one", *[f"_{t}" for t in targets]]
     swept = running(stacked, ["subway_timestamp", "incident_id", ROW], sums=sums, keys=["_kind", "_key"])
     return swept.groupBy(ROW).agg(*[
         F.max(F.when(F.col("_kind") == kind, F.col(f"{c}_run") - F.col(c))).alias(f"_{kind}{c}") for kind in kinds for c in sums

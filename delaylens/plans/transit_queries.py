@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from delaylens.functions import scalars as S
+from delaylens.ml import ordered_targets as T
 from delaylens.operators import evaluate as E
 from delaylens.operators import ripple as R
 from delaylens.operators.ordered import top_k
@@ -399,13 +400,46 @@ def ripple_dataset(t: Tables) -> DataFrame:
     return half_up(R.incident_dataset(found(t)), *MEANS, "global_prev_delay")
 
 
-# --- splits and baselines -----------------------------------------------------------------------------
+# --- categories as target means ---------------------------------------------------------------------
 
 SPLIT = HIST + """
 , n AS (SELECT count(*) AS n FROM d),
 s AS (SELECT d.*, CASE WHEN row_number() OVER (ORDER BY subway_timestamp, incident_id)
     <= CAST(floor((SELECT n FROM n) * 0.8) AS BIGINT) THEN 1 ELSE 0 END AS is_train FROM d)"""
 
+CATEGORY = {"station_key": "station_key", "subway_code": "subway_code", "subway_line": "subway_line",
+            "day_name": "dayname(subway_timestamp)"}
+_HIT = "CASE WHEN delay > 0 THEN 1 ELSE 0 END"
+
+
+@query(incident_sql(HIST + f"""
+, p AS (SELECT *, {_HIT} AS hit, coalesce(avg({_HIT}) {_over('')}, 0) AS prior FROM d)
+SELECT incident_id, """ + ", ".join(
+    f"round((coalesce(sum(hit) {_over(k)}, 0) + prior * 10.0) / (count(*) {_over(k)} + 10.0), 6) AS {c}_mean"
+    for c, k in CATEGORY.items()) + " FROM p"))
+def ordered_target_means(t: Tables) -> DataFrame:
+    rows = T.add_ordered_means(R.labelled(found(t)), "ripple_label", list(CATEGORY))
+    return rows.select("incident_id", *[f"{c}_mean" for c in CATEGORY])
+
+
+@query(incident_sql(SPLIT + f"""
+, tr AS (SELECT *, {_HIT} AS hit FROM s WHERE is_train = 1),
+m AS (SELECT avg({_HIT}) AS prior FROM s WHERE is_train = 1)
+SELECT incident_id, """ + ", ".join(
+    f"round((coalesce(k{i}.t, 0) + prior * 10.0) / (coalesce(k{i}.n, 0) + 10.0), 6) AS {c}_mean"
+    for i, c in enumerate(CATEGORY)) + " FROM m, s " + " ".join(
+    f"LEFT JOIN (SELECT {k} AS k, sum(hit) AS t, count(*) AS n FROM tr GROUP BY 1) k{i} ON {k} IS NOT DISTINCT FROM k{i}.k"
+    for i, k in enumerate(CATEGORY.values())) + " WHERE is_train = 0"))
+def scored_target_means(t: Tables) -> DataFrame:
+    """The later fifth of the incidents, scored by the state of the earlier ones."""
+    rows = materialize(R.labelled(found(t)))
+    cut = materialize(H.temporal_split(rows, 0.8, "subway_timestamp", ["incident_id"]))
+    state = T.target_state(cut.filter(F.col("is_train") == 1), "ripple_label", list(CATEGORY))
+    later = cut.filter(F.col("is_train") == 0)
+    return T.score_means(later, state, list(CATEGORY)).select("incident_id", *[f"{c}_mean" for c in CATEGORY])
+
+
+# --- splits and baselines -----------------------------------------------------------------------------
 
 @query(incident_sql(SPLIT + "SELECT incident_id, CAST(is_train AS BIGINT) AS is_train FROM s"))
 def temporal_split(t: Tables) -> DataFrame:
