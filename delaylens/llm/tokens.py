@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 #: Texts are tokenised together in groups of about so many bytes.
 BYTES = 8 << 20
 #: So many distinct words are remembered before starting afresh, a bound on memory: within one task, and by a
-#: Python worker over its tasks.
-KNOWN, KNOWN_BY_WORKER = 1 << 20, 1 << 21
+#: Python worker over its tasks, which holds them beside the jobs that follow.
+KNOWN, KNOWN_BY_WORKER = 1 << 20, 1 << 20
 #: Distinct words are encoded in runs of so many.
 RUN = 2_000
 
