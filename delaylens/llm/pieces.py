@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from delaylens.llm.tables import stored, table, texts
 
 MARKER = "▁"
-#: Bytes of distinct words searched at a time, and of texts encoded at a time.
-BATCH, BYTES = 1 << 18, 4 << 20
+#: Bytes of distinct words searched at a time, and of texts encoded at a time: both bound a task's memory.
+BATCH, BYTES = 1 << 16, 2 << 20
+#: So many distinct words are remembered within a task before starting afresh.
+KNOWN = 1 << 18
 #: How far below the worst piece an uncovered character scores.
 PENALTY = 10.0
 RUNS = re.compile(" +[^ ]*")
@@ -121,15 +123,22 @@ def load(path: str) -> Pieces:
     return build([p.id_to_piece(i) for i in every], [p.get_score(i) for i in every], [kind(i) for i in every])
 
 
-def _search(model: Pieces, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _spelling(words: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the words in a row, and where each word ends in them. No nulls."""
+    words = pa.array(words, pa.large_binary()) if isinstance(words, list) else words.cast(pa.large_binary())
+    limits = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[limits[0] : limits[-1]]
+    return data, limits[1:] - limits[0]
+
+
+def _search(model: Pieces, words: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Best pieces of each word: flat ids, and their number per word.
 
     All matches are found by walking the trie from every character of every word at once. Then
     places are settled in order; of equal scores the one with the longer last piece stays.
     """
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    starts = ends - [len(w) for w in words]
+    data, ends = _spelling(words)
+    starts = np.append(0, ends)[:-1]
     word = np.repeat(np.arange(len(words)), ends - starts)
     letter = (data & 0xC0) != 0x80
     at = np.flatnonzero(letter)
@@ -155,7 +164,8 @@ def _search(model: Pieces, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin, length, piece = (np.concatenate(x) for x in zip(*found))
     score = np.where(piece >= 0, model.score[piece], model.unknown_score)
     offset = begin - starts[word[begin]]
-    order = np.argsort(offset, kind="stable")
+    # Small integers are sorted by counting.
+    order = np.argsort(offset.astype(np.uint16) if offset.max(initial=0) < 1 << 16 else offset, kind="stable")
     begin, length, piece, score = begin[order], length[order], piece[order], score[order]
     # Place x of word w is x + w: every word has one place more than bytes.
     goal = begin + length + word[begin]
@@ -192,13 +202,8 @@ def _search(model: Pieces, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.uint32), np.bincount(who, size, len(words)).astype(np.int64)
 
 
-def encode_words(model: Pieces, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    out, at = [], 0
-    sizes = np.cumsum([0] + [len(w) for w in words])
-    while at < len(words):
-        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH, "right")) - 1)
-        out.append(_search(model, words[at:to]))
-        at = to
+def encode_words(model: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    out = [_search(model, some) for _, some in _groups(words, BATCH)]
     if not out:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -219,10 +224,38 @@ def _words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray
     return every, runs, full, words
 
 
-def encode(model: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Remembered:
+    """The pieces of the words that a task has searched, so that none is searched again for its later texts."""
+
+    def __init__(self, model: Pieces):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the known ones; new ones are searched first."""
+        if len(self.words) > KNOWN:
+            self._forget()
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).copy()
+        new = place < 0
+        fresh = words.filter(pa.array(new))
+        flat, size = encode_words(self.model, fresh)
+        place[new] = len(self.words) + np.arange(len(fresh))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, flat])
+        return place
+
+
+def encode(model: Pieces, column: pa.Array, known: Remembered | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All ids in a row and the number per text; an empty text has none."""
+    known = known or Remembered(model)
     every, runs, full, words = _words(column)
-    flat, length = encode_words(model, [w.encode() for w in every.dictionary.to_pylist()])
+    found = known.look_up(every.dictionary)
     # Words lie texts without runs first; bring them into the order of the texts.
     begin = np.zeros(len(column), np.int64)
     for some in (full & ~runs, full & runs):
@@ -231,10 +264,10 @@ def encode(model: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     index = every.indices.to_numpy(zero_copy_only=False)
     place = np.repeat(begin - (np.cumsum(words) - words), words) + np.arange(words.sum())
     index = index[place]
-    at = np.cumsum(length) - length
-    size = length[index]
-    total = np.cumsum(size)
-    ids = flat[np.repeat(at[index] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+    index = found[index]
+    size = known.size[index]
+    total = np.cumsum(size, dtype=np.int64)
+    ids = known.flat[np.repeat(known.at[index] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
     edge = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(words)])]
     return ids, np.diff(edge)
 
@@ -252,36 +285,33 @@ def decode(model: Pieces, ids: np.ndarray, n: np.ndarray) -> list[str]:
     return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
-def _groups(column: pa.Array):
-    column = column.cast(pa.large_string())
+def _groups(column: pa.Array, size: int):
+    """The first row and the rows of runs of at most ``size`` bytes, or of one row."""
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     limits = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(limits, limits[at] + BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(limits, limits[at] + size, "right")) - 1)
         yield at, column.slice(at, to - at)
         at = to
 
 
-def encode_documents(docs: DataFrame, model: Pieces) -> DataFrame:
-    """doc_id and the piece ids of its whole text, as an array.
-
-    Null and empty texts have no pieces. Repeated rows each give a row; an empty table gives an
-    empty result. Texts of any length are searched whole.
-    """
-
+def _encoder(model: Pieces):
     def run(batches):
+        known = Remembered(model)
         for batch in batches:
-            for at, some in _groups(batch.column(1)):
-                ids, n = encode(model, some)
+            for at, some in _groups(batch.column(1), BYTES):
+                ids, n = encode(model, some, known)
                 limits = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int64())
                 arrays = pa.LargeListArray.from_arrays(limits, pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), arrays], names=["doc_id", "ids"])
+        del known
+        pa.default_memory_pool().release_unused()
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode_documents(coded: DataFrame, model: Pieces) -> DataFrame:
-    """doc_id, the decoded text, and figures of the ids: n_pieces, n_bytes (pieces that are bytes), ids_crc32."""
+def _decoder(model: Pieces):
     is_byte = np.zeros(len(model.score), bool)
     is_byte[model.byte_piece[model.byte_piece >= 0]] = True
 
@@ -302,7 +332,30 @@ def decode_documents(coded: DataFrame, model: Pieces) -> DataFrame:
                     names=["doc_id", "text", "n_pieces", "n_bytes", "ids_crc32"],
                 )
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string, n_pieces long, n_bytes long, ids_crc32 long")
+    return run
+
+
+DECODED = "doc_id long, text string, n_pieces long, n_bytes long, ids_crc32 long"
+
+
+def encode_documents(docs: DataFrame, model: Pieces) -> DataFrame:
+    """doc_id and the piece ids of its whole text, as an array.
+
+    Null and empty texts have no pieces. Repeated rows each give a row; an empty table gives an
+    empty result. Texts of any length are searched whole.
+    """
+    return texts(docs).mapInArrow(_encoder(model), "doc_id long, ids array<int>")
+
+
+def decode_documents(coded: DataFrame, model: Pieces) -> DataFrame:
+    """doc_id, the decoded text, and figures of the ids: n_pieces, n_bytes (pieces that are bytes), ids_crc32."""
+    return coded.select("doc_id", "ids").mapInArrow(_decoder(model), DECODED)
+
+
+def encode_and_decode(docs: DataFrame, model: Pieces) -> DataFrame:
+    """What ``decode_documents`` makes of ``encode_documents``, in one pass: a task has one Python worker, not two."""
+    encoder, decoder = _encoder(model), _decoder(model)
+    return texts(docs).mapInArrow(lambda batches: decoder(encoder(batches)), DECODED)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -310,11 +363,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, some in _groups(batch.column(1)):
+            for _, some in _groups(batch.column(1), BYTES):
                 every = _words(some)[0]
                 n = np.bincount(every.indices.to_numpy(zero_copy_only=False), minlength=len(every.dictionary))
                 words = every.dictionary.cast(pa.large_binary()).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], names=["word", "n"])
+        pa.default_memory_pool().release_unused()
 
     return texts(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -325,20 +379,16 @@ def _piece_counts(counted: DataFrame, model: Pieces, anywhere: bool) -> np.ndarr
     def run(batches):
         total = np.zeros(len(model.score), np.int64)
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            at, sizes = 0, np.cumsum([0] + [len(w) for w in words])
-            while at < len(words):
-                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH, "right")) - 1)
+            n = batch.column(1).to_numpy()
+            for at, some in _groups(batch.column(0), BATCH):
                 if anywhere:
-                    some = np.frombuffer(b"".join(words[at:to]), np.uint8)
-                    edge = np.cumsum([len(w) for w in words[at:to]])
-                    word = np.repeat(np.arange(to - at), np.diff(edge, prepend=0))
-                    ids, who = _matches(model, some, edge[word], word)
+                    data, ends = _spelling(some)
+                    word = np.repeat(np.arange(len(some)), np.diff(ends, prepend=0))
+                    ids, who = _matches(model, data, ends[word], word)
                 else:
-                    ids, length = _search(model, words[at:to])
-                    who = np.repeat(np.arange(to - at), length)
-                np.add.at(total, ids, n[at:to][who])
-                at = to
+                    ids, length = _search(model, some)
+                    who = np.repeat(np.arange(len(some)), length)
+                np.add.at(total, ids, n[at : at + len(some)][who])
         kept = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], names=["piece", "n"])
 
@@ -387,8 +437,7 @@ def learned(docs: DataFrame, model: Pieces, rounds: int = ROUNDS) -> Pieces:
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learned(docs, load(piece_model_path()))
-    decoded = decode_documents(encode_documents(docs, model), model)
-    return decoded.select("doc_id", "n_pieces", "n_bytes", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
+    return encode_and_decode(docs, model).select("doc_id", "n_pieces", "n_bytes", "ids_crc32", F.sha2("text", 256).alias("text_sha256"))
 
 
 SQL = {}
