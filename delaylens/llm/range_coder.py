@@ -27,6 +27,7 @@ HEADER, HEADER_BYTES = "<4sIII", 16  # magic, ids, payload bytes, crc32 of the i
 WORD = np.uint64(32)
 SMALL = np.uint64(1 << 32)
 LOWER = np.uint64((1 << 32) - 1)
+ONES = np.uint64(0x0101010101010101)
 DIGITS = np.arange(1, 17)
 #: What is added to a row of running totals when a digit is seen.
 RISE = (STEP * (np.arange(16)[None, :] >= np.arange(16)[:, None])).astype(np.uint16)
@@ -52,9 +53,9 @@ class _Lanes:
         mask = (1 << SLOTS) - 1
         self.at_one = self.slot[:k] + (((last * 40_503) >> 3) & mask)
         self.at_two = self.slot[:k] + (((last * 40_503 + self.before[:k] * 60_493) >> 3) & mask)
-        one, two = self.one[self.at_one].astype(np.int64), self.two[self.at_two].astype(np.int64)
+        one, two = self.one.take(self.at_one).astype(np.int64), self.two.take(self.at_two).astype(np.int64)
         same = one == two
-        row = self.state[:k] + (same.astype(np.int64) << 6) + (self.sure_two[self.at_two].astype(np.int64) << 3) + self.sure_one[self.at_one]
+        row = self.state[:k] + (same.astype(np.int64) << 6) + (self.sure_two.take(self.at_two).astype(np.int64) << 3) + self.sure_one.take(self.at_one)
         return one, two, row
 
     def learn(self, k: int, ids: np.ndarray, one: np.ndarray, two: np.ndarray, row: np.ndarray, choice: np.ndarray) -> None:
@@ -64,7 +65,7 @@ class _Lanes:
         if len(full):
             self.hits[row[full]] = (self.hits[row[full]] + 1) >> 1
         for table, sure, at, candidate in ((self.one, self.sure_one, self.at_one, one), (self.two, self.sure_two, self.at_two, two)):
-            trust = sure[at]
+            trust = sure.take(at)
             hit = candidate == ids
             sure[at] = np.where(hit, np.minimum(trust + 1, 7), trust >> 1)
             table[at] = np.where(hit | (trust > 1), candidate, ids)
@@ -73,16 +74,22 @@ class _Lanes:
 
     def row_of(self, digit: int, lanes: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = (lanes << min(4 * digit, 8)) + (prefix & 255)
-        return row, self.tables[digit][row]
+        return row, self.tables[digit].take(row, 0)
 
     def count(self, digit: int, row: np.ndarray, totals: np.ndarray, value: np.ndarray) -> None:
-        totals = totals + RISE[value]
+        totals += RISE.take(value, 0)
         full = totals[:, 15] > MOST
         if full.any():
             totals[full] = (totals[full] >> 1) + DIGITS
         self.tables[digit][row] = totals
 
 
+def _places(target: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """How many of the 16 running totals of each row are not above its target: the bytes of two words, summed by one product."""
+    below = (target.astype(np.uint16)[:, None] >= totals).view(np.uint64)
+    return (((below[:, 0] + below[:, 1]) * ONES) >> np.uint64(56)).astype(np.int64)
+
+
 class _Coder:
     """Carry-less range coders, one per lane, of 64 bits; words of 32 bits leave or enter.
 
@@ -167,7 +174,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         now = ids[step, :k].astype(np.int64)
         one, two, row = model.contexts(k)
         choice = np.where(now == two, 0, np.where(now == one, 1, 2))
-        hits = model.hits[row].astype(np.int64)
+        hits = model.hits.take(row, 0).astype(np.int64)
         ends = hits.cumsum(1)
         size = hits[np.arange(k), choice]
         coder.encode(slice(0, k), ends[np.arange(k), choice] - size, size, ends[:, 2])
@@ -222,7 +229,7 @@ def _decode(packed: list[bytes]) -> list[np.ndarray]:
     for step in range(longest):
         k = int(np.searchsorted(-sizes, -step))
         one, two, row = model.contexts(k)
-        hits = model.hits[row].astype(np.int64)
+        hits = model.hits.take(row, 0).astype(np.int64)
         ends = hits.cumsum(1)
         target, unit = coder.target(slice(0, k), ends[:, 2])
         choice = (target >= ends[:, 0]).astype(np.int64) + (target >= ends[:, 1])
@@ -236,7 +243,7 @@ def _decode(packed: list[bytes]) -> list[np.ndarray]:
             for digit in range(4):
                 at, totals = model.row_of(digit, rest, value)
                 target, unit = coder.target(rest, totals[:, 15])
-                of = (target[:, None] >= totals).sum(1)
+                of = _places(target, totals)
                 end = totals[each, of].astype(np.int64)
                 start = np.where(of > 0, totals[each, of - 1], 0).astype(np.int64)
                 coder.narrow(rest, start, end - start, unit)

@@ -23,6 +23,8 @@ from delaylens.session import scratch_path
 END = 0
 #: Bytes of text that a file should hold.
 FILE_BYTES = 18 << 20
+#: Bytes of text that a task tokenises at a time.
+GROUP_BYTES = 2 << 20
 LAYOUT = "part int, block int, ordinal long, doc_ids array<long>, n_ids array<int>, begun boolean, done boolean, coded binary"
 
 
@@ -33,7 +35,7 @@ def _writer(path: str, end: int):
         encoder, part = TextEncoder(path), TaskContext.get().partitionId()
         if len(encoder.begins) > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit into 16 bits")
-        left, docs, count, block, ordinal, begun = np.zeros(0, np.uint32), [], [], 0, 0, False
+        left, docs, count, block, ordinal, begun = np.zeros(0, np.uint16), [], [], 0, 0, False
 
         def emit(last: bool):
             """Full blocks of what is pending; the rest too if ``last``."""
@@ -63,12 +65,15 @@ def _writer(path: str, end: int):
                 yield pa.RecordBatch.from_arrays([*some, pa.array(encode_blocks(blocks[lo : lo + LANES]), pa.binary())], names=NAMES)
 
         for batch in batches:
-            for at, ids, n in encoded(encoder, batch.column(1), end):
-                left = np.concatenate([left, ids])
+            for at, ids, n in encoded(encoder, batch.column(1), end, GROUP_BYTES):
+                left = np.concatenate([left, ids.astype(np.uint16)])
                 docs += batch.column(0).slice(at, len(n)).to_pylist()
                 count += n.tolist()
                 if len(left) >= BLOCK * LANES:
                     yield from emit(False)
+        # The coder's counts need the room of the known words and the texts.
+        encoder = batch = ids = n = None
+        pa.default_memory_pool().release_unused()
         if len(left):
             yield from emit(True)
 
@@ -93,6 +98,24 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
     ordered.mapInArrow(_writer(path or vocabulary_path(), end), LAYOUT).write.parquet(folder)
 
 
+def _pieces(batches):
+    """Columns part, ordinal, at, doc_id, n, whole and ids (an array) of some decoded and checked blocks at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, LANES):
+            some = batch.slice(lo, LANES)
+            coded = decode_blocks([c.as_buffer().to_pybytes() for c in some.column(7)])
+            rows = []
+            for part, block, ordinal, docs, sizes, begun, done, ids in zip(*[some.column(k).to_pylist() for k in range(7)], coded):
+                at = 0
+                for k, (doc, n) in enumerate(zip(docs, sizes)):
+                    whole = (k > 0 or not begun) and (k + 1 < len(docs) or done)
+                    rows.append((part, ordinal + k, block * BLOCK + at, doc, n, whole, ids[at : at + n]))
+                    at += n
+            if rows:
+                yield list(zip(*rows))
+    pa.default_memory_pool().release_unused()
+
+
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """part, ordinal (place of the document in its file), at (of its first id here), doc_id, n, whole, ids.
 
@@ -100,19 +123,9 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, LANES):
-                some = batch.slice(lo, LANES)
-                coded = decode_blocks([c.as_buffer().to_pybytes() for c in some.column(7)])
-                rows = []
-                for part, block, ordinal, docs, sizes, begun, done, ids in zip(*[some.column(k).to_pylist() for k in range(7)], coded):
-                    at = 0
-                    for k, (doc, n) in enumerate(zip(docs, sizes)):
-                        whole = (k > 0 or not begun) and (k + 1 < len(docs) or done)
-                        rows.append((part, ordinal + k, block * BLOCK + at, doc, n, whole, ids[at : at + n].astype("<u2").tobytes()))
-                        at += n
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PIECE_TYPES)], names=PIECE_NAMES)
+        for *columns, ids in _pieces(batches):
+            columns.append([x.astype("<u2").tobytes() for x in ids])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PIECE_TYPES)], names=PIECE_NAMES)
 
     return spark.read.schema(LAYOUT).parquet(folder).mapInArrow(run, PIECES)
 
@@ -126,15 +139,13 @@ def _crc(packed: bytes, crc: int = 0) -> int:
     return zlib.crc32(np.frombuffer(packed, "<u2").astype("<u4"), crc)
 
 
-def _with_crc(batches):
-    """Digest of whole documents; the ids of others stay, to be joined."""
-    for batch in batches:
-        whole = batch.column(5).to_pylist()
-        ids = batch.column(6).to_pylist()
-        crc = [_crc(x) if w else 0 for w, x in zip(whole, ids)]
-        rest = [None if w else x for w, x in zip(whole, ids)]
+def _digested(batches):
+    """Pieces with the digest of whole documents; the ids of others stay, to be joined."""
+    for *columns, whole, ids in _pieces(batches):
+        crc = [zlib.crc32(x.astype("<u4")) if w else 0 for w, x in zip(whole, ids)]
+        rest = [None if w else x.astype("<u2").tobytes() for w, x in zip(whole, ids)]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], pa.array(crc, pa.int64()), pa.array(rest, pa.binary())],
+            [*map(pa.array, columns, PIECE_TYPES[:5]), pa.array(crc, pa.int64()), pa.array(rest, pa.binary())],
             names=["part", "ordinal", "at", "doc_id", "n", "crc", "ids"],
         )
 
@@ -163,8 +174,9 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         before.append((r.part, total))
         total += r.n
     offsets = spark.createDataFrame(before, "part int, before long")
-    pieces = read_ids(spark, folder).mapInArrow(
-        _with_crc, "part int, ordinal long, at long, doc_id long, n long, crc long, ids binary"
+    # Decoded and digested in one pass, so that a task has one Python worker.
+    pieces = spark.read.schema(LAYOUT).parquet(folder).mapInArrow(
+        _digested, "part int, ordinal long, at long, doc_id long, n long, crc long, ids binary"
     )
     documents = pieces.groupBy("part", "ordinal", "doc_id").agg(
         F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.collect_list(F.struct("at", "crc", "ids")).alias("pieces")

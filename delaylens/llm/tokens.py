@@ -133,13 +133,13 @@ def worker_encoder(path: str) -> TextEncoder:
     return kept[path]
 
 
-def encoded(encoder: TextEncoder, column: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ids with ``end`` after each text, ids of each text) in groups of bounded size."""
+def encoded(encoder: TextEncoder, column: pa.Array, end: int, size: int = BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids with ``end`` after each text, ids of each text) in groups of at most ``size`` bytes, or of one text."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         ids, n = encoder.encode(column.slice(at, to - at))
         ids = np.insert(ids, np.cumsum(n), end).astype(np.uint32, copy=False)
         yield at, ids, n + 1
