@@ -41,10 +41,11 @@ class _Lanes:
         self.slot = np.arange(n) << SLOTS
         self.one, self.two = np.zeros(n << SLOTS, np.uint16), np.zeros(n << SLOTS, np.uint16)
         self.sure_one, self.sure_two = np.zeros(n << SLOTS, np.uint8), np.zeros(n << SLOTS, np.uint8)
-        self.state = np.arange(n) * STATES
-        self.hits = np.tile(np.array([1, 1, 2], np.int16), (n * STATES, 1))
+        self.state = np.arange(n) * (3 * STATES)
+        self.hits = np.tile(np.array([1, 1, 2], np.int16), n * STATES)  # three in a row for each state
         # Running totals over the 16 values of each digit, one row per lane and (up to two) digits before it.
         self.tables = [np.tile(DIGITS.astype(np.uint16), (n << min(4 * d, 8), 1)) for d in range(4)]
+        self.rows = [t.view("V32").reshape(-1) for t in self.tables]  # the same, each row moved as one item
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def contexts(self, k: int):
@@ -55,15 +56,27 @@ class _Lanes:
         self.at_two = self.slot[:k] + (((last * 40_503 + self.before[:k] * 60_493) >> 3) & mask)
         one, two = self.one.take(self.at_one).astype(np.int64), self.two.take(self.at_two).astype(np.int64)
         same = one == two
-        row = self.state[:k] + (same.astype(np.int64) << 6) + (self.sure_two.take(self.at_two).astype(np.int64) << 3) + self.sure_one.take(self.at_one)
-        return one, two, row
+        sure = (same.astype(np.int64) << 6) + (self.sure_two.take(self.at_two).astype(np.int64) << 3) + self.sure_one.take(self.at_one)
+        return one, two, self.state[:k] + 3 * sure
+
+    def shares(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the shares of the three choices end."""
+        first = self.hits.take(row).astype(np.int64)
+        second = first + self.hits.take(row + 1)
+        return first, second, second + self.hits.take(row + 2)
+
+    def share(self, row: np.ndarray, first: np.ndarray, second: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the share of what was chosen."""
+        return np.where(choice == 0, 0, np.where(choice == 1, first, second)), self.hits.take(row + choice).astype(np.int64)
 
     def learn(self, k: int, ids: np.ndarray, one: np.ndarray, two: np.ndarray, row: np.ndarray, choice: np.ndarray) -> None:
-        count = self.hits[row, choice] + 24
-        self.hits[row, choice] = count
+        at = row + choice
+        count = self.hits.take(at) + 24
+        self.hits[at] = count
         full = np.flatnonzero(count > 8_000)
         if len(full):
-            self.hits[row[full]] = (self.hits[row[full]] + 1) >> 1
+            every = row[full, None] + np.arange(3)
+            self.hits[every] = (self.hits[every] + 1) >> 1
         for table, sure, at, candidate in ((self.one, self.sure_one, self.at_one, one), (self.two, self.sure_two, self.at_two, two)):
             trust = sure.take(at)
             hit = candidate == ids
@@ -81,7 +94,14 @@ class _Lanes:
         full = totals[:, 15] > MOST
         if full.any():
             totals[full] = (totals[full] >> 1) + DIGITS
-        self.tables[digit][row] = totals
+        self.rows[digit][row] = totals.view("V32").reshape(-1)
+
+
+def _span(totals: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of a digit's share in each row of running totals."""
+    flat, at = totals.reshape(-1), np.arange(0, totals.size, 16) + of
+    start = np.where(of > 0, flat.take(at - 1), 0).astype(np.int64)
+    return start, flat.take(at) - start
 
 
 def _places(target: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -174,21 +194,17 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         now = ids[step, :k].astype(np.int64)
         one, two, row = model.contexts(k)
         choice = np.where(now == two, 0, np.where(now == one, 1, 2))
-        hits = model.hits.take(row, 0).astype(np.int64)
-        ends = hits.cumsum(1)
-        size = hits[np.arange(k), choice]
-        coder.encode(slice(0, k), ends[np.arange(k), choice] - size, size, ends[:, 2])
+        first, second, total = model.shares(row)
+        coder.encode(slice(0, k), *model.share(row, first, second, choice), total)
         coder.settle(False)
         rest = np.flatnonzero(choice == 2)
         if len(rest):
-            value, each = now[rest], np.arange(len(rest))
+            value = now[rest]
             for digit in range(4):
                 prefix = value >> (16 - 4 * digit)
                 of = (value >> (12 - 4 * digit)) & 15
                 at, totals = model.row_of(digit, rest, prefix)
-                end = totals[each, of].astype(np.int64)
-                start = np.where(of > 0, totals[each, of - 1], 0).astype(np.int64)
-                coder.encode(rest, start, end - start, totals[:, 15])
+                coder.encode(rest, *_span(totals, of), totals[:, 15])
                 model.count(digit, at, totals, of)
                 if digit % 2:
                     coder.settle(False)
@@ -229,24 +245,20 @@ def _decode(packed: list[bytes]) -> list[np.ndarray]:
     for step in range(longest):
         k = int(np.searchsorted(-sizes, -step))
         one, two, row = model.contexts(k)
-        hits = model.hits.take(row, 0).astype(np.int64)
-        ends = hits.cumsum(1)
-        target, unit = coder.target(slice(0, k), ends[:, 2])
-        choice = (target >= ends[:, 0]).astype(np.int64) + (target >= ends[:, 1])
-        size = hits[np.arange(k), choice]
-        coder.narrow(slice(0, k), ends[np.arange(k), choice] - size, size, unit)
+        first, second, total = model.shares(row)
+        target, unit = coder.target(slice(0, k), total)
+        choice = (target >= first).astype(np.int64) + (target >= second)
+        coder.narrow(slice(0, k), *model.share(row, first, second, choice), unit)
         coder.settle(True)
         now = np.where(choice == 0, two, one)
         rest = np.flatnonzero(choice == 2)
         if len(rest):
-            value, each = np.zeros(len(rest), np.int64), np.arange(len(rest))
+            value = np.zeros(len(rest), np.int64)
             for digit in range(4):
                 at, totals = model.row_of(digit, rest, value)
                 target, unit = coder.target(rest, totals[:, 15])
                 of = _places(target, totals)
-                end = totals[each, of].astype(np.int64)
-                start = np.where(of > 0, totals[each, of - 1], 0).astype(np.int64)
-                coder.narrow(rest, start, end - start, unit)
+                coder.narrow(rest, *_span(totals, of), unit)
                 model.count(digit, at, totals, of)
                 if digit % 2:
                     coder.settle(True)
