@@ -16,8 +16,10 @@ BYTES = 8 << 20
 #: So many distinct words are remembered before starting afresh, a bound on memory: within one task, and by a
 #: Python worker over its tasks, which holds them beside the jobs that follow.
 KNOWN, KNOWN_BY_WORKER = 1 << 20, 1 << 20
-#: Distinct words are encoded in runs of so many.
-RUN = 2_000
+#: Distinct words are encoded in runs of so many, and the parts of words of known shape in runs of so many.
+RUN, PARTS = 2_000, 200
+#: Letters and marks of words of known shape; other words may hold digits, apostrophes or any other character.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +28,30 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _spelling() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in UTF-8, their number, of the letter by which a byte-level vocabulary spells each byte."""
+    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = dict(zip([*same, *(b for b in range(256) if b not in same)], [*same, *range(256, 512)]))
+    coded = [chr(letters[b]).encode() for b in range(256)]
+    return np.array([c[0] for c in coded], np.uint8), np.array([c[-1] for c in coded], np.uint8), np.array([len(c) for c in coded])
+
+
+FIRST_BYTE, LAST_BYTE, N_BYTES = _spelling()
+
+
+def _spelled(texts: pa.Array) -> pa.Array:
+    """Large strings in the vocabulary's letters for their bytes."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    size = N_BYTES[data]
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    out[ends - size] = FIRST_BYTE[data]
+    out[ends - 1] = LAST_BYTE[data]
+    offsets = np.concatenate([[0], ends])[offsets - offsets[0]]
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(out))
+
+
 class TextEncoder:
     """Encodes texts by their distinct words.
 
@@ -34,17 +60,26 @@ class TextEncoder:
     to the library as one string; a token that begins with the space byte begins a piece. Texts
     with other spaces (repeated, leading, trailing, before a control or rare character) go to
     the library whole.
+
+    Words of known shape, lines of letters and then marks, are cut where the vocabulary's own
+    pattern cuts them. Their distinct parts go to the library spelled in the vocabulary's
+    letters for bytes, so that it only has to merge.
     """
 
     IRREGULAR = r"( ([^!-~À-ɏ]|$))|^ |\x00"
+    SHAPE = rf"^[{LETTERS}]+[{MARKS}]*(\n[{LETTERS}]+[{MARKS}]*)*$"
 
     def __init__(self, path: str, remembered: int = KNOWN):
         self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        first, self.nothing = self.library.pre_tokenizer, self.library.token_to_id("Ā")
+        self.cuts = isinstance(first, pre_tokenizers.ByteLevel) and first.use_regex and self.library.normalizer is None and self.nothing is not None
+        self.merger = Tokenizer(self.library.model)
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.begins = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self._forget()
@@ -57,13 +92,16 @@ class TextEncoder:
         """Places of distinct words among the known ones; new ones are encoded and remembered."""
         if len(self.known) > self.remembered:
             self._forget()
-        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        # The known ones are looked for among these, as those are many more to hash.
+        found = pc.index_in(self.known, value_set=words)
+        place = np.full(len(words), -1)
+        place[found.drop_null().to_numpy(zero_copy_only=False)] = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
         new = place < 0
         fresh = words.filter(pa.array(new))
-        flat, lengths = self._words(fresh.to_pylist())
+        flat, at, lengths = self._words(fresh)
         place[new] = len(self.known) + np.arange(len(fresh))
         self.known = pa.concat_arrays([self.known, fresh])
-        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.at = np.concatenate([self.at, len(self.pool) + at])
         self.size = np.concatenate([self.size, lengths])
         self.pool = np.concatenate([self.pool, flat])
         return place
@@ -71,7 +109,17 @@ class TextEncoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of words that each follow a space, and where each word's begin and how many they are."""
+        shaped = pc.match_substring_regex(words, self.SHAPE).to_numpy(zero_copy_only=False) & self.cuts
+        flat, n = self._shaped(words.filter(pa.array(shaped)))
+        others, m = self._others(words.filter(pa.array(~shaped)).to_pylist())
+        at, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at[shaped], size[shaped] = np.cumsum(n) - n, n
+        at[~shaped], size[~shaped] = len(flat) + np.cumsum(m) - m, m
+        return np.concatenate([flat, others]), at, size
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for words that each follow a space."""
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -81,6 +129,33 @@ class TextEncoder:
         assert len(starts) == len(words), "a token does not follow the spaces"
         return ids, np.diff(np.append(starts, len(ids)))
 
+    def _shaped(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of known shape."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        space, nothing = pa.scalar(" ", words.type), pa.scalar("", words.type)
+        cut = pc.replace_substring(pc.binary_join_element_wise(space, words, nothing), "\n", "\x00\n\x00")
+        cut = pc.split_pattern(pc.replace_substring_regex(cut, f"([{MARKS}]+)", "\x00\\1"), "\x00")
+        parts = pc.list_flatten(cut).dictionary_encode()
+        flat, lengths = self._parts(parts.dictionary)
+        index = parts.indices.to_numpy(zero_copy_only=False)
+        size, at = lengths[index], (np.cumsum(lengths) - lengths)[index]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
+        return ids, np.diff(np.concatenate([[0], ends])[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for parts that the vocabulary's pattern leaves whole."""
+        parts = _spelled(parts)
+        cuts = [*range(0, len(parts), PARTS), len(parts)]
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts), pa.scalar(" Ā ", parts.type)).to_pylist()
+        coded = self.merger.encode_batch_fast([f"{r} Ā" for r in runs], add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in coded])
+        # Each is followed by the byte 0, which no part holds.
+        lengths = np.diff(np.flatnonzero(ids == self.nothing), prepend=-1) - 1
+        assert len(lengths) == len(parts), "a part was cut"
+        return ids[ids != self.nothing], lengths
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's ids. No nulls."""
         column = column.cast(pa.large_string())
